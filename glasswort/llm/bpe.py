@@ -1,2 +1,182 @@
-QUERIES: dict = {}
+"""Byte-level BPE encoding and decoding.
+
+A text is cut by the tokenizer's pattern and each piece is merged on its own.
+A segment tree over the piece's byte positions holds, at each position, the
+rank of the pair that starts there; its root names the leftmost pair of the
+lowest rank.  A merge changes two pairs, so it costs two walks to the root:
+n log n for a piece of n bytes, however long it is.
+
+Files of ranks are read where the code runs, by a path that is a parameter;
+the driver reads them once and ships the bytes (bounded by the vocabulary).
+"""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from ._shared import documents
+
+FILE = "byte_bpe_50k.tiktoken"
+#: Pieces that an encoder remembers, in two generations; only speed depends on it.
+REMEMBERED = 250_000
+_NONE = 1 << 62
+
+
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    """token bytes -> rank of a file with a base64 token and its rank on each line."""
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
+
+
+class SegmentTree:
+    """The least of n keys under point updates."""
+
+    __slots__ = ("size", "tree")
+
+    def __init__(self, keys: list[int]):
+        size = 1
+        while size < len(keys):
+            size *= 2
+        tree = [_NONE] * size + keys + [_NONE] * (size - len(keys))
+        for i in range(size - 1, 0, -1):
+            a, b = tree[2 * i], tree[2 * i + 1]
+            tree[i] = a if a < b else b
+        self.size, self.tree = size, tree
+
+    def least(self) -> int:
+        return self.tree[1]
+
+    def put(self, at: int, key: int) -> None:
+        tree, i = self.tree, at + self.size
+        tree[i] = key
+        while i > 1:
+            other = tree[i ^ 1]
+            if other < key:
+                key = other
+            i >>= 1
+            if tree[i] == key:
+                break
+            tree[i] = key
+
+
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The tokens that merging leaves: always the leftmost pair of the lowest rank, while there is one."""
+    n = len(piece)
+    if n < 2:
+        return [piece]
+    get, shift = ranks.get, n.bit_length()
+    keys = []
+    for i in range(n - 1):
+        rank = get(piece[i : i + 2])
+        keys.append(_NONE if rank is None else rank << shift | i)
+    tree, mask = SegmentTree(keys), (1 << shift) - 1
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # ends and left neighbours of live parts
+    while (least := tree.least()) != _NONE:
+        i = least & mask
+        gone = after[i]
+        end = after[i] = after[gone]
+        tree_key = _NONE
+        if end < n:
+            before[end] = i
+            rank = get(piece[i : after[end]])
+            if rank is not None:
+                tree_key = rank << shift | i
+            tree.put(gone, _NONE)
+        elif gone < n - 1:
+            tree.put(gone, _NONE)
+        tree.put(i, tree_key)
+        left = before[i]
+        if left >= 0:
+            rank = get(piece[left:end])
+            tree.put(left, _NONE if rank is None else rank << shift | left)
+    parts, i = [], 0
+    while i < n:
+        parts.append(piece[i : after[i]])
+        i = after[i]
+    return parts
+
+
+class _Pieces(dict):
+    """piece -> its ids as decimals joined by spaces; the older of two generations is forgotten as the newer fills up."""
+
+    def __init__(self, ranks: dict[bytes, int], remembered: int):
+        super().__init__()
+        self.ranks, self.remembered, self.old = ranks, remembered, {}
+
+    def __missing__(self, piece: str) -> str:
+        found = self.old.get(piece)
+        if found is None:
+            data = piece.encode("utf-8", "surrogatepass")
+            rank = self.ranks.get(data)
+            found = str(rank) if rank is not None else " ".join([str(self.ranks[part]) for part in merge(data, self.ranks)])
+        if len(self) >= self.remembered:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
+
+
+class Encoder:
+    """Texts to ids and back.  Ids travel as decimals joined by single spaces."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
+        import regex
+
+        self.find, self.pieces = regex.compile(pattern).findall, _Pieces(ranks, remembered)
+        self.tokens = {str(rank): token for token, rank in ranks.items()}
+
+    def encode(self, text: str) -> str:
+        return " ".join(map(self.pieces.__getitem__, self.find(text)))
+
+    def decode(self, ids: str) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.split(" "))) if ids else b""
+
+
+def encode_table(
+    docs: DataFrame, text_col: str, ranks_file: str, pattern: str, keep: list[str] | None = None, digests: bool = False
+) -> DataFrame:
+    """keep (or all columns but the text) with n_tokens, and ids array<int> and decoded binary, or with digests their sha256.
+
+    A null text is an empty one: no ids, no bytes.  Special tokens of the
+    vocabulary are ordinary text.  Rows stay where they are: no shuffle.  A
+    kept column that has the name of a result column is left out.
+    """
+    with open(ranks_file, "rb") as f:
+        data = docs.sparkSession.sparkContext.broadcast(f.read())
+    made = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c != text_col and c not in made]
+    types = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep])
+    made_types = "n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(read_ranks(data.value), pattern)
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for text in batch.column(len(keep)):
+                ids = encoder.encode(text.as_py() or "")
+                raw = encoder.decode(ids)
+                out[0].append(ids.count(" ") + 1 if ids else 0)
+                out[1].append(hashlib.sha256(ids.encode()).hexdigest() if digests else [int(x) for x in ids.split()])
+                out[2].append(hashlib.sha256(raw).hexdigest() if digests else raw)
+            kinds = (pa.int64(), pa.string(), pa.string()) if digests else (pa.int64(), pa.list_(pa.int32()), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(keep)], *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]], names=[*keep, *made]
+            )
+
+    return docs.select(*keep, text_col).mapInArrow(run, ", ".join(x for x in (types, made_types) if x))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_table(
+        documents(spark, sf_dir).select("doc_id", "text"), "text", public_tokenizers.path(FILE), public_tokenizers.PATTERN, digests=True
+    )
+
+
+QUERIES = {"op10_bpe": op10_bpe}
 ORACLE: dict = {}

@@ -1,2 +1,151 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Exact top-k by inner product over an impact-ordered index.
+
+Vectors are integers.  A block of them is indexed by posting segments, one
+for each dimension and bit plane of the shifted components: the rows whose
+component has that bit.  Segments are processed score-at-a-time in
+descending impact (2 to the plane): each adds its impact times the query's
+component to the accumulators of its rows.  After each plane, what the
+remaining planes can still add to any row is bounded from both sides;
+processing stops as soon as the rows that may still reach the k best are
+few, and those possible members, and no others, are rescored exactly.
+
+Segments of a plane are bitmaps over the block's rows, so a plane is one
+matrix product for a block of queries.  Query blocks meet all row blocks:
+each pair gives the k best of a query in that block, and a ranking over
+those gives the result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ._shared import materialize
+
+ROWS, QUERIES_A_BLOCK, K, SCALE, EVERY = 8192, 1024, 20, 64, 20
+#: Rescore once no more than this share of a block's rows can still be members.
+RESCORE = 1 / 32
+
+
+def _blocks(table: DataFrame, rows: int) -> DataFrame:
+    """(dim, n, ids binary, vectors binary): the rows of (id, vec array<long>) packed, up to `rows` of one dimension in each."""
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+
+        def block(dim: int) -> pa.RecordBatch:
+            ids, vecs = held.pop(dim)
+            return pa.RecordBatch.from_pydict({"dim": [dim], "n": [len(ids)], "ids": [np.array(ids, np.int64).tobytes()], "vectors": [np.concatenate(vecs).astype(np.int64).tobytes()]})
+
+        for batch in batches:
+            for i, vec in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                v = vec.values.to_numpy(zero_copy_only=False)
+                ids, vecs = held.setdefault(len(v), ([], []))
+                ids.append(i)
+                vecs.append(v)
+                if len(ids) == rows:
+                    yield block(len(v))
+        for dim in list(held):
+            yield block(dim)
+
+    return table.mapInArrow(pack, "dim long, n long, ids binary, vectors binary")
+
+
+def _product(q: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
+    """q @ rows.T, exact: in the narrowest type that holds all partial sums."""
+    kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+    return (q.astype(kind) @ rows.astype(kind).T).astype(np.int64)
+
+
+def block_top_k(q: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query's place, ids, scores) of its k best rows of another id; ties to smaller ids."""
+    shift = rows.min(axis=0)
+    shifted = rows - shift
+    planes = int(shifted.max()).bit_length() if shifted.size else 0
+    own = q_ids[:, None] == ids[None, :]
+    least = np.int64(-(1 << 62))
+    acc = np.repeat((q * shift).sum(axis=1)[:, None], len(rows), axis=1)
+    acc[own] = least
+    k = min(k, len(rows))
+    up, down = np.maximum(q, 0).sum(axis=1), np.minimum(q, 0).sum(axis=1)
+    size = int(np.abs(q).sum(axis=1).max(initial=0))
+    open_ = acc > least
+    for plane in range(planes - 1, -1, -1):
+        acc += _product(q, shifted >> plane & 1, size) << plane
+        left = (1 << plane) - 1
+        floor = np.partition(acc, len(rows) - k, axis=1)[:, len(rows) - k] + down * left  # k rows end here at least
+        open_ = (acc + (up * left)[:, None] >= floor[:, None]) & ~own
+        if left and open_.mean() <= RESCORE:
+            break
+    for i in range(len(q)):
+        at = np.flatnonzero(open_[i])
+        score = rows[at] @ q[i]
+        best = np.lexsort((ids[at], -score))[:k]
+        yield i, ids[at][best], score[best]
+
+
+def top_k(table: DataFrame, is_query: Column, id_col: str = "id", vec_col: str = "vec", k: int = K) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k best other rows of each query row by integer inner product.
+
+    table has an id (long) and a vector (array<long>).  Rows without an id
+    or a vector, or with a null component, take no part; so do empty
+    vectors.  Vectors meet those of their own length only.  Rows of one id
+    never find each other; a query id of several rows is ranked over the
+    results of all of them, each found id once, at its best score.  Ties go
+    to the smaller id.  An empty table gives an empty result.
+    """
+    usable = table.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), is_query.alias("query"))
+    usable = materialize(usable.where("id IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0 AND NOT exists(vec, x -> x IS NULL)"), "vectors")
+    rows = _blocks(usable.select("id", "vec"), ROWS)
+    asked = usable.where("query").select("id", "vec")
+    spread = max(1, -(-asked.count() // QUERIES_A_BLOCK))
+    asked = materialize(_blocks(asked.repartition(spread, "id"), QUERIES_A_BLOCK).toDF("q_dim", "q_n", "q_ids", "q_vectors"), "query-blocks")
+    pairs = materialize(rows, "row-blocks").crossJoin(asked).where("dim = q_dim")  # of blocks: each holds thousands of rows
+    pairs = pairs.repartition(max(1, min(2000, pairs.count())), F.xxhash64("ids", "q_ids"))
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, q_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
+                vecs, q = (np.frombuffer(r[c], np.int64).reshape(-1, r["dim"]) for c in ("vectors", "q_vectors"))
+                for start in range(0, len(q), 256):
+                    part = list(block_top_k(q[start : start + 256], q_ids[start : start + 256], vecs, ids, k))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.repeat(q_ids[[start + i for i, _, _ in part]], [len(f) for _, f, _ in part])),
+                            pa.array(np.concatenate([f for _, f, _ in part])),
+                            pa.array(np.concatenate([s for _, _, s in part])),
+                        ],
+                        names=["query_id", "vec_id", "score"],
+                    )
+
+    found = pairs.select("dim", "ids", "vectors", "q_ids", "q_vectors").mapInArrow(search, "query_id long, vec_id long, score long")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    table = table.where("vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity'))")
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")).cast("long"))
+    return top_k(table.select(F.col("vec_id").alias("id"), whole.alias("vec")), F.col("id") % EVERY == 0)
+
+
+QUERIES = {"op8_topk": op8_topk}
+ORACLE = {
+    "op8_topk": f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.vec, c.vec), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % {EVERY} = 0 AND q.vec_id <> c.vec_id AND len(q.vec) = len(c.vec)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {K}"""
+}
