@@ -1,2 +1,129 @@
-QUERIES: dict = {}
+"""Document fingerprints: a canonical exact digest, in DataFrame functions only.
+
+A text's canonical form has compatibility-composed characters (NFKC), folded
+case and single spaces.  Two xxhash64 of it (128 bits) group the documents;
+inside a group of several members the canonical bytes are compared, and a
+group that holds different bytes gets its members' SHA-256 appended.
+
+ICU, which Spark ships, does the normalising through SQL's reflect().
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ._shared import documents, materialize, wide_hash
+
+#: Blanks that are left after NFKC, as a class of Java's regular expressions.
+_BLANK = r"\s\x{1c}-\x{1f}\x{85}\x{1680}\x{2028}\x{2029}"
+#: Rows of a stretch of the document order, and stretches at most.
+STRETCH, STRETCHES = 200, 4096
+#: Keys of groups that may be broadcast (24 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def canonical(text: Column) -> Column:
+    compose = lambda c: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    fold = lambda c: F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True))
+    folded = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(compose(fold(compose(text))))
+    return F.btrim(F.regexp_replace(folded, f"[{_BLANK} ]{{2,}}|[{_BLANK}&&[^ ]]", " "))
+
+
+def _digest(h1: Column, h2: Column) -> Column:
+    return F.lower(F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0")))
+
+
+def collided_groups(docs: DataFrame, text: Column) -> DataFrame:
+    """(h1, h2) of the groups that hold different canonical bytes; a written table, as a rule empty.
+
+    Keys are counted first, so bytes move for groups of several members only;
+    a group's least and greatest bytes are equal if all are, and both combine
+    before the shuffle, so no group's size matters.
+    """
+    form = docs.select(canonical(text).alias("form"))
+    h1, h2 = wide_hash(F.col("form"))
+    keyed = form.select("form", h1.alias("h1"), h2.alias("h2"))
+    several = materialize(keyed.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "several")
+    chosen = F.broadcast(several) if several.count() <= BROADCAST_KEYS else several
+    ends = keyed.join(chosen, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("form").alias("a"), F.max("form").alias("b"))
+    return materialize(ends.where("a <> b").select("h1", "h2"), "collided")
+
+
+def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with __fingerprint added: 32 hex digits, and a SHA-256 behind them in a collided group.
+
+    A null text is an empty one.  Texts have equal fingerprints exactly if
+    their canonical bytes are equal.  An empty table gives an empty result.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    collided = collided_groups(docs, text)
+    h1, h2 = wide_hash(F.col("__form"))
+    keyed = docs.select("*", canonical(text).alias("__form")).select("*", h1.alias("h1__"), h2.alias("h2__"))
+    clash = F.lit(False)
+    if not collided.isEmpty():
+        marked = collided.select("h1", "h2", F.lit(True).alias("__clash"))
+        keyed = keyed.join(marked, (F.col("h1__") == F.col("h1")) & (F.col("h2__") == F.col("h2")), "left")
+        clash = F.coalesce("__clash", F.lit(False))
+    plain = _digest(F.col("h1__"), F.col("h2__"))
+    return keyed.select(*docs.columns, F.when(clash, F.concat(plain, F.lit("-"), F.sha2("__form", 256))).otherwise(plain).alias("__fingerprint"))
+
+
+def with_next(docs: DataFrame, id_col: str, value: Column, tie: Column) -> DataFrame:
+    """docs with __next: value of the row that follows in descending order of id; the first row's after the last.
+
+    Null ids come last; rows of one id are ordered by tie.  The order is cut
+    into stretches at ids that exist, so no task holds more than one; the
+    row at a stretch's upper end is also sent, as a guest, to the end of the
+    stretch above it, and the table's first row to the end of the lowest.
+    """
+    n = docs.count()
+    ids = docs.where(F.col(id_col).isNotNull())
+    cuts: list = []
+    if n:
+        parts = max(1, min(STRETCHES, n // STRETCH))
+        shares = [i / parts for i in range(1, parts)]
+        found = ids.agg(F.max(id_col), F.percentile_approx(id_col, shares, 20 * STRETCHES) if shares else F.lit(None)).first()
+        cuts = sorted({c for c in [*(found[1] or []), found[0]] if c is not None})
+    bounds = F.lit(cuts).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
+    here = F.when(F.col(id_col).isNull(), 0).otherwise(F.size(F.filter(bounds, lambda b: b < F.col(id_col)))).cast("int")
+    placed = docs.select("*", here.alias("__at"), value.alias("__value"), tie.alias("__tie"))
+    at_cut = F.col("__at") < len(cuts)
+    is_cut = F.coalesce(at_cut & (F.get(bounds, F.col("__at")) == F.col(id_col)), F.lit(False))
+    above = F.when(F.col("__at") == len(cuts) - 1, 0).otherwise(F.col("__at") + 1)
+    places = F.when(is_cut, F.array(F.struct(F.col("__at").alias("at"), F.lit(0).alias("guest")), F.struct(above.cast("int").alias("at"), F.lit(1).alias("guest"))))
+    places = places.otherwise(F.array(F.struct(F.col("__at").alias("at"), F.lit(0).alias("guest"))))
+    placed = placed.select("*", F.explode(places).alias("__place"))
+    order = Window.partitionBy("__place.at").orderBy(F.col("__place.guest"), F.col(id_col).desc_nulls_last(), "__tie")
+    around = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    following = F.coalesce(F.lead("__value").over(order), F.first("__value").over(around))
+    return placed.select("*", following.alias("__next")).where("__place.guest = 0").drop("__at", "__tie", "__value", "__place")
+
+
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    marked = fingerprints(docs)
+    both = with_next(marked, "doc_id", F.struct("text", "__fingerprint"), F.xxhash64("text"))
+    n = F.length("text")
+    third = F.floor(n / 3).cast("int")
+    edited = both.select(
+        "doc_id",
+        n.cast("long").alias("n_chars"),
+        F.col("__fingerprint").alias("fingerprint"),
+        (F.col("__fingerprint") == F.col("__next.__fingerprint")).cast("double").alias("near_next"),
+        canonical(F.col("text")).alias("form"),
+        F.concat(F.substring("text", F.lit(1), n - third), F.substring("__next.text", F.lit(1), third)).alias("edited"),
+    )
+    h1, h2 = wide_hash(F.col("edited_form"))
+    edited = edited.select("*", canonical(F.col("edited")).alias("edited_form"))
+    plain = _digest(h1, h2)
+    clash = F.col("fingerprint").startswith(plain) & (F.col("form") != F.col("edited_form"))
+    known = F.length("fingerprint") > 32
+    print_ = F.when(clash | (known & F.col("fingerprint").startswith(plain)), F.concat(plain, F.lit("-"), F.sha2("edited_form", 256))).otherwise(plain)
+    return edited.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", print_.alias("edited_fingerprint"), "near_next"
+    ).select("*", (F.col("fingerprint") == F.col("edited_fingerprint")).cast("double").alias("near_edited"))
+
+
+QUERIES = {"op4_fingerprint": op4_fingerprint}
 ORACLE: dict = {}

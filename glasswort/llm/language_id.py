@@ -90,7 +90,7 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 300, l2: float = 1e-4) -> Model:
+def fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 150, l2: float = 1e-4) -> Model:
     """All bits' regressions at once, by accelerated gradient descent; classes weigh the same."""
     code = codewords(len(languages))
     t = code[y].astype(np.float32)
