@@ -1,2 +1,251 @@
-QUERIES: dict = {}
+"""Near-duplicate detection by HyperMinHash.
+
+Each document's set of word shingles gets a sketch of REGISTERS buckets; a
+bucket keeps, of the least hash that it saw, the count of leading zeros and
+MANTISSA bits behind them.  Bands of ROWS registers are hashed to keys;
+documents that share a key are candidates.  Candidates pass if the Jaccard
+index that their registers estimate, corrected for registers that agree by
+chance, may reach the threshold, and are then confirmed on full sets.
+
+Every bucket sees the whole set under a hash of its own: dealing the
+elements out over the buckets instead leaves most buckets of a short text
+empty, and their bands would tie unrelated short texts together.
+
+No stage holds a band's group in one task or lists all its pairs.  Equal
+sets are one node.  In each group the node that shares the most with others
+is the centre, and each member is tested against it; links so confirmed
+make components.  What may be missing then are links between different
+components of one group.  Those pairs are listed only where sizes and
+unshared shingles leave a link possible: a shingle that no other open
+member has can be in no intersection, which settles edited copies of one
+text without comparing them to each other.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ._shared import documents, materialize
+from ._shingles import shingle_sets
+
+PERCENT = 85
+BANDS, ROWS, MANTISSA = 24, 5, 10
+REGISTERS = BANDS * ROWS
+#: Estimates so many standard deviations below the threshold end a candidate.
+DEVIATIONS = 6
+#: Nodes or keys (8 bytes each) that may be broadcast; beyond it they are joined by a shuffle.
+BROADCAST_KEYS = 500_000
+_U = np.uint64
+_rng = np.random.default_rng(20)
+_FACTORS = _rng.integers(0, 1 << 64, REGISTERS, np.uint64) | _U(1)
+_FLIPS = _rng.integers(0, 1 << 64, REGISTERS, np.uint64)
+_BAND = _rng.integers(0, 1 << 64, (BANDS, ROWS + 1), np.uint64) | _U(1)
+
+
+def registers(shingles: np.ndarray) -> np.ndarray:
+    """uint16 a bucket: leading zeros of its least hash above the next MANTISSA bits."""
+    least = np.full(REGISTERS, np.iinfo(_U).max, _U)
+    for start in range(0, len(shingles), 256):
+        np.minimum(least, ((shingles[start : start + 256, None] ^ _FLIPS) * _FACTORS).min(axis=0), out=least)
+    least >>= _U(11)  # 53 bits: exact as a double
+    zeros = 53 - np.frexp(least.astype(float))[1]
+    bits = (least << zeros.astype(_U)) >> _U(52 - MANTISSA) & _U((1 << MANTISSA) - 1)
+    return (zeros.astype(np.uint16) << MANTISSA | bits.astype(np.uint16)).astype(np.uint16)
+
+
+def band_keys(sketch: np.ndarray) -> np.ndarray:
+    rows = sketch.reshape(BANDS, ROWS).astype(_U)
+    h = (rows * _BAND[:, :ROWS]).sum(axis=1, dtype=_U) + _BAND[:, ROWS]
+    h = (h ^ (h >> _U(31))) * _U(0xD6E8FEB86659FD93)
+    return (h ^ (h >> _U(32)) ^ _BAND[:, ROWS]).view(np.int64)
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
+    """Jaccard index from two sketches of sets of n and m elements, less what registers share by chance."""
+    ratio = n / m
+    chance = 0.169919487159739 * 2.0**-MANTISSA * 4 * ratio / (1 + ratio) ** 2
+    return max(0.0, ((a == b).mean() - chance) / (1 - chance))
+
+
+def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, node, n, keys, sketch): node is a 64-bit digest of the set; null, without keys, for the empty set."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                nodes, sizes, keys, sketches = [], [], [], []
+                for s in shingle_sets(part.column(1).to_pylist()):
+                    sketch = registers(s) if len(s) else None
+                    nodes.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
+                    sizes.append(len(s))
+                    keys.append(band_keys(sketch) if len(s) else None)
+                    sketches.append(sketch.tobytes() if len(s) else None)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                    names=["doc_id", "text", "node", "n", "keys", "sketch"],
+                )
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+        run, "doc_id long, text string, node long, n long, keys array<long>, sketch binary"
+    )
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """A hint to broadcast a written table of checked size."""
+    return F.broadcast(table) if table.count() <= BROADCAST_KEYS else table
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of which the corrected estimate may reach percent."""
+    j = percent / 100
+    least = j - DEVIATIONS * (j * (1 - j) / REGISTERS) ** 0.5
+    ends = nodes.select("node", "n", "sketch")
+    joined = pairs.join(ends.toDF("a", "n_a", "s_a"), "a").join(ends.toDF("b", "n_b", "s_b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+            near = [
+                estimate(np.frombuffer(x.as_buffer(), np.uint16), np.frombuffer(y.as_buffer(), np.uint16), n, m) >= least
+                for x, y, n, m in zip(batch.column(4), batch.column(5), n_a, n_b, strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) with 100 * intersection >= percent * union on full sets."""
+    ends = nodes.select("node", "text")
+    joined = pairs.join(ends.toDF("a", "t_a"), "a").join(ends.toDF("b", "t_b"), "b").select("a", "b", "t_a", "t_b")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                ids = [part.column(c).to_pylist() for c in (0, 1)]
+                texts: dict[int, str] = {}
+                for c in (0, 1):
+                    for node, text in zip(ids[c], part.column(2 + c), strict=True):
+                        if node not in texts:
+                            texts[node] = text.as_py()
+                sets = dict(zip(texts, shingle_sets(list(texts.values())), strict=True))
+                near = []
+                for a, b in zip(*ids, strict=True):
+                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    near.append(100 * both >= percent * (len(sets[a]) + len(sets[b]) - both))
+                yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def links(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    return materialize(_confirmed(materialize(_possible(pairs, nodes, percent), "possible"), nodes, percent), "links")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the least node of its component, for every node of the (a, b) edges.
+
+    Each round takes the least label among neighbours, then the label's own
+    label, so rounds go with the logarithm of the longest path, not with its
+    length.  Every round's labels are written, so no lineage grows.
+    """
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    while True:
+        heard = both.join(labels.toDF("b", "heard"), "b").groupBy(F.col("a").alias("node")).agg(F.min("heard").alias("heard"))
+        step = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
+        step = materialize(step, "labels")
+        jump = step.join(step.select(F.col("node").alias("label"), F.col("label").alias("further")), "label")
+        moved = materialize(jump.select("node", "old", F.col("further").alias("label")), "labels")
+        if moved.where("old <> label").isEmpty():
+            return moved.select("node", "label")
+        labels = moved.select("node", "label")
+
+
+def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of one group and of different components that sizes and unshared shingles leave possible.
+
+    members is (key, node) without the groups' centres.
+    """
+    mine = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    mixed = lambda t: t.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("least")).where("x <> y").select("key", "least")
+    mine = materialize(mine.join(nodes.select("node", "n"), "node"), "members")
+    keys = materialize(mixed(mine), "open-keys")
+    mine = materialize(mine.join(_few(keys), "key"), "open-members")
+    who = materialize(mine.select("node").distinct(), "open-nodes")
+
+    def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                sets = shingle_sets(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), [len(s) for s in sets]))], names=["shingle", "node"]
+                )
+
+    held = nodes.join(_few(who), "node", "left_semi").select("node", "text").mapInArrow(shingles, "shingle long, node long")
+    alone = held.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    mine = mine.join(alone, "node", "left").select("key", "node", "label", "n", "least", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    # the best partner has all that is shared and nothing else, but is no smaller than the group's smallest
+    mine = materialize(mine.where(f"100 * shared >= {percent} * (n + greatest(shared, least) - shared)"), "able-members")
+    mine = materialize(mine.drop("least").join(_few(materialize(mixed(mine), "able-keys").select("key")), "key", "left_semi"), "able")
+    x, y = (mine.toDF("key", *[f"{c}_{s}" for c in ("node", "label", "n", "shared")]) for s in "ab")
+    most = F.least("shared_a", "shared_b")
+    near = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
+    return x.join(y, "key").where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row.
+
+    Words are runs of anything but blanks, A-Z lower-cased; a document's set
+    holds its distinct runs of five words, of fewer words the whole
+    sequence; without words (null, empty or blank text) it is empty, links
+    with nothing and is kept.  component_id is the smallest id reachable by
+    links, kept whether it is the row's own.  Rows of equal sets are linked.
+    Rows of one id and text share their fate.  A row without an id is kept
+    exactly if no row of its component has one.  An empty table gives an
+    empty result.
+    """
+    table = materialize(sketch_table(docs, id_col, text_col), "sketches")
+    classes = materialize(table.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
+    banded = table.where("node IS NOT NULL").select(F.explode("keys").alias("key"), "node")
+    shared = banded.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
+    members = materialize(banded.join(_few(materialize(shared, "shared-keys")), "key", "left_semi").distinct(), "members")
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    weight = materialize(members.join(materialize(sizes, "sizes"), "key").groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    reps = classes.join(_few(weight.select("node")), "node", "left_semi").toDF("node", "rep")
+    nodes = table.join(_few(materialize(reps, "candidates")), "node").where("doc_id <=> rep").select("node", "n", "sketch", "text")
+    nodes = materialize(nodes, "nodes")
+    if nodes.count() > weight.count():  # equal rows of one id
+        nodes = materialize(nodes.dropDuplicates(["node"]), "nodes")
+    centre = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"))
+    around = materialize(members.join(materialize(centre, "centres"), "key").where("node <> centre"), "around")
+    found = links(around.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), nodes, percent)
+    labels = components(found)
+    rest = links(_open_pairs(around.select("key", "node"), labels, nodes, percent), nodes, percent)
+    if not rest.isEmpty():
+        labels = components(found.union(rest))
+    ids = classes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
+    linked = labels.join(classes, "node").groupBy("label").agg(F.min("rep").alias("least"))
+    ids = ids.join(linked, "label", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
+    ids = materialize(ids, "component-ids")
+    full = table.where("node IS NOT NULL").select("doc_id", "n", "node").join(ids, "node").select("doc_id", "n", "component_id")
+    full = full.union(table.where("node IS NULL").select("doc_id", "n", "doc_id"))
+    return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {"op9_minhash": op9_minhash}
 ORACLE: dict = {}
