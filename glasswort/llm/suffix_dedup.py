@@ -1,2 +1,300 @@
-QUERIES: dict = {}
+"""Removal of every byte that a repeated 400-byte string covers.
+
+Repeats are found by column-wise construction over many short strings:
+one symbol of every string is inserted each round, from the last column to
+the first, and the strings' order by the suffixes seen so far (what a
+Burrows-Wheeler transform of the collection lists) and the common prefixes
+of neighbours are updated from the round before.  Columns are read, one a
+round, from a sequential file.  Strings of a class share more than LENGTH
+bytes exactly where neighbours' common prefixes say so.
+
+Whole documents would take as many rounds as the longest has bytes, each
+over all text, so the strings are windows.  Every window of LENGTH bytes
+picks an anchor from its own content (the least hash of its grams, as in
+winnowing), so equal strings pick equal anchors at equal places and only
+windows of equal anchors need meet.  Runs of starts that share an anchor
+are one row; rows whose whole surroundings are equal, or whose anchor is
+found once, are settled by their hashes.  The rest is cut into cells of
+CELL starts that share a core of LENGTH - CELL + 1 bytes; cells whose cores
+are equal and whose surroundings differ go through the construction.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import tempfile
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ._shared import documents, materialize, wide_hash
+
+LENGTH, GRAM, CELL = 400, 200, 50
+#: Strings of one construction: as many classes as fit, one class at least.
+STRINGS = 1 << 14
+BROADCAST_KEYS = 500_000
+_CHUNK, _BITS = 1 << 19, 21
+_U = np.uint64
+_P = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> _U(29))) * _U(0xC2B2AE3D27D4EB4F)
+    return h ^ (h >> _U(32))
+
+
+class _Sums:
+    """Hashes of any stretch of data, by prefix sums of a polynomial modulo 2^64."""
+
+    def __init__(self, data: np.ndarray):
+        if not _powers:
+            n = _CHUNK + 2 * LENGTH
+            up, down = np.full(n, _P, _U), np.full(n, pow(_P, -1, 1 << 64), _U)
+            up[0] = down[0] = 1
+            _powers[:] = [np.cumprod(up), np.cumprod(down)]
+        self.total = np.zeros(len(data) + 1, _U)
+        np.cumsum((data.astype(_U) + _U(1)) * _powers[0][: len(data)], out=self.total[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.total[end] - self.total[start]) * _powers[1][start]
+
+
+def _least(keys: np.ndarray, width: int) -> np.ndarray:
+    """The least of every `width` consecutive keys: block-wise running minima from both sides."""
+    n = len(keys) - width + 1
+    padded = np.full(-(-len(keys) // width) * width, np.iinfo(_U).max, _U)
+    padded[: len(keys)] = keys
+    blocks = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+
+
+def runs(data: bytes) -> list[np.ndarray]:
+    """(first start, further starts, anchor less first start, anchor's hash, surroundings' hash) of each run of starts that share an anchor."""
+    text, parts = np.frombuffer(data, np.uint8), []
+    for begin in range(0, len(text) - LENGTH + 1, _CHUNK):
+        seg = text[begin : begin + _CHUNK + LENGTH - 1]
+        sums, at = _Sums(seg), np.arange(len(seg) - GRAM + 1)
+        grams = _mix(sums.of(at, at + GRAM))
+        low = _U((1 << _BITS) - 1)
+        anchor = (_least(grams & ~low | at.astype(_U), LENGTH - GRAM + 1) & low).astype(np.int64)
+        first = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1))
+        last = np.concatenate((first[1:] - 1, [len(anchor) - 1]))
+        a = anchor[first]
+        around = _mix(sums.of(first, last + LENGTH) + (a - first).astype(_U) * _U(0x165667B19E3779F9) + (last - first).astype(_U) * _U(0x27D4EB2F165667C5))
+        parts.append((first + begin, last - first, a - first, grams[a].view(np.int64), around.view(np.int64)))
+    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
+
+
+_RUN = ("p", "more", "lead", "gram", "around")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    k1, k2 = wide_hash(F.col(id_col), text)
+    return docs.select("*", k1.alias("__k1"), k2.alias("__k2"), text.alias("__text"))
+
+
+def run_table(keyed: DataFrame) -> DataFrame:
+    """(k1, k2, runs array): a row for each document of LENGTH bytes or more."""
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                found = [runs(t.as_py().encode("utf-8", "surrogatepass")) for t in part.column(2)]
+                ends = np.cumsum([0, *[len(f[0]) for f in found]]).astype(np.int32)
+                flat = [pa.array(np.concatenate([f[c] for f in found])) for c in range(5)]
+                rows = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(flat, names=list(_RUN)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], rows], names=["k1", "k2", "runs"])
+
+    long_enough = keyed.where(F.octet_length("__text") >= LENGTH).select("__k1", "__k2", "__text")
+    fields = ",".join(f"{c}:bigint" for c in _RUN)
+    return long_enough.mapInArrow(find, f"k1 long, k2 long, runs array<struct<{fields}>>")
+
+
+def construct(strings: list[bytes], begin: np.ndarray, width: int, starts: int, length: int) -> np.ndarray:
+    """(strings, starts) booleans: whether `length` bytes from that column on are also another string's from the same column.
+
+    string i covers the columns begin[i], begin[i] + 1, ... of `width`.
+    """
+    m, none = len(strings), 256
+    with tempfile.TemporaryFile() as file:
+        table = np.full((m, width), none, np.uint16)
+        for i, (s, b) in enumerate(zip(strings, begin, strict=True)):
+            table[i, b : b + len(s)] = np.frombuffer(s, np.uint8)
+        file.write(np.ascontiguousarray(table.T[::-1]).data)
+        del table
+        file.seek(0)
+        found = np.zeros((m, starts), bool)
+        order, common = np.arange(m), np.zeros(m + 1, np.int32)
+        for column in range(width - 1, -1, -1):
+            symbol = np.frombuffer(file.read(2 * m), np.uint16)[order]
+            insert = np.argsort(symbol, kind="stable")
+            symbol = symbol[insert]
+            same = (symbol[1:] == symbol[:-1]) & (symbol[1:] != none)
+            upper, lower = insert[:-1][same], insert[1:][same]
+            between = np.empty(2 * len(upper), np.int64)
+            between[0::2], between[1::2] = upper + 1, lower + 1
+            least = np.minimum.reduceat(common, between)[::2] if len(upper) else common[:0]
+            common = np.zeros(m + 1, np.int32)
+            common[1:m][same] = least + 1
+            order = order[insert]
+            if column < starts:
+                enough = common >= length
+                found[order, column] = enough[:m] | enough[1:]
+    return found
+
+
+def _cells(data: bytes, rows: list[dict]) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(core's hash, surroundings' hash, first start, column of it, bytes) of the cells of a document's runs."""
+    for r in rows:
+        anchor = r["p"] + r["lead"]
+        for cell in range((r["lead"] - r["more"]) // CELL, r["lead"] // CELL + 1):  # distances from start to anchor, by CELL
+            far, near = min(r["lead"], cell * CELL + CELL - 1), max(r["lead"] - r["more"], cell * CELL)
+            core = data[anchor - cell * CELL : anchor - cell * CELL - CELL + 1 + LENGTH]
+            begin = cell * CELL + CELL - 1 - far
+            span = data[anchor - far : anchor - near + LENGTH]
+            digest = lambda x: int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
+            yield digest(core + cell.to_bytes(4, "little")), digest(span + begin.to_bytes(4, "little")), anchor - far, begin, span
+
+
+def cell_table(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(core, around, k1, k2, p, begin, span) of the runs in rows: (k1, k2, runs)."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = list(_cells(batch.column(3)[i].as_py().encode("utf-8", "surrogatepass"), batch.column(2)[i].as_py()))
+                n = len(found)
+                core, around, p, begin, span = ([f[c] for f in found] for c in range(5))
+                key = [np.full(n, batch.column(c)[i].as_py(), np.int64) for c in (0, 1)]
+                for at in range(0, n, 10_000):
+                    s = slice(at, at + 10_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(core[s], pa.int64()), pa.array(around[s], pa.int64()), pa.array(key[0][s]), pa.array(key[1][s]), pa.array(p[s], pa.int64()), pa.array(begin[s], pa.int64()), pa.array(span[s], pa.binary())],
+                        names=["core", "around", "k1", "k2", "p", "begin", "span"],
+                    )
+
+    joined = rows.join(docs, (rows["k1"] == docs["__k1"]) & (rows["k2"] == docs["__k2"])).select("k1", "k2", "runs", "__text")
+    return joined.mapInArrow(cut, "core long, around long, k1 long, k2 long, p long, begin long, span binary")
+
+
+def _repeated_cells(cells: DataFrame) -> DataFrame:
+    """(core, around, hits array<struct<a, b>>): ranges of columns at which repeated strings start."""
+
+    def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            found = construct([h[3] for h in held], np.array([h[2] for h in held]), LENGTH + CELL - 1, CELL, LENGTH)
+            hits = []
+            for row in found:
+                edge = np.diff(row.astype(np.int8), prepend=0, append=0)
+                hits.append([{"a": int(a), "b": int(b) - 1} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)])
+            kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+            made = [pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array(hits, kind)]
+            return pa.RecordBatch.from_arrays(made, names=["core", "around", "hits"])
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if len(held) >= STRINGS and row[0] != held[-1][0]:
+                    yield out()
+                    held = []
+                held.append(row)
+        if held:
+            yield out()
+
+    dealt = cells.select("core", "around", "begin", "span").repartition("core").sortWithinPartitions("core")
+    return dealt.mapInArrow(solve, "core long, around long, hits array<struct<a:bigint,b:bigint>>")
+
+
+def _few(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_KEYS else table
+
+
+def repeats(keyed: DataFrame) -> DataFrame:
+    """(k1, k2, first, last): ranges of starts of repeated strings."""
+    table = materialize(run_table(keyed), "runs")
+    flat = table.select("k1", "k2", F.explode("runs").alias("r")).select("k1", "k2", "r.*")
+    several = flat.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    shared = materialize(flat.join(_few(materialize(several, "grams")), "gram", "left_semi"), "shared-runs")
+    kinds = materialize(shared.groupBy("gram", "around").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", *_RUN[:3])).alias("one")), "kinds")
+    twins = materialize(kinds.where("c > 1").select("gram", "around"), "twins")
+    whole = shared.join(_few(twins), ["gram", "around"], "left_semi").select("k1", "k2", F.col("p").alias("first"), (F.col("p") + F.col("more")).alias("last"))
+    mixed = materialize(kinds.groupBy("gram").agg(F.count("*").alias("d"), F.min("c").alias("c")).where("d > 1 AND c = 1").select("gram"), "mixed")
+    one = kinds.join(_few(mixed), "gram", "left_semi").select("one.*", "gram", "around")
+    chosen = one.groupBy("k1", "k2").agg(F.collect_set(F.struct(*_RUN)).alias("runs"))
+    cells = materialize(cell_table(keyed.select("__k1", "__k2", "__text"), materialize(chosen, "open-runs")).dropDuplicates(["core", "around", "k1", "k2", "p"]), "cells")
+    sorts = materialize(cells.groupBy("core", "around").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "p")).alias("one")), "sorts")
+    equal = cells.join(_few(materialize(sorts.where("c > 1").select("core", "around"), "equal")), ["core", "around"], "left_semi")
+    span = F.octet_length("span") - LENGTH
+    equal = equal.select("k1", "k2", F.col("p").alias("first"), (F.col("p") + span).alias("last"))
+    unlike = materialize(sorts.groupBy("core").agg(F.count("*").alias("d"), F.min("c").alias("c")).where("d > 1 AND c = 1").select("core"), "unlike")
+    asked = sorts.join(_few(unlike), "core", "left_semi").select("core", "around", "one.*")
+    asked = cells.join(_few(materialize(asked, "asked")), ["core", "around", "k1", "k2", "p"], "left_semi")
+    solved = materialize(_repeated_cells(asked).where("size(hits) > 0"), "solved")
+    parts = cells.select("core", "around", "k1", "k2", "p", "begin").join(solved, ["core", "around"]).select("k1", "k2", "p", "begin", F.explode("hits").alias("h"))
+    parts = parts.select("k1", "k2", (F.col("p") + F.col("h.a") - F.col("begin")).alias("first"), (F.col("p") + F.col("h.b") - F.col("begin")).alias("last"))
+    return whole.union(equal).union(parts)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """docs with __n_bytes, __n_removed, __n_spans (long) and __kept (binary; its SHA-256 in hex, if digest) added.
+
+    Texts are read as UTF-8 bytes, a null one as empty.  Each byte goes that
+    a string of LENGTH bytes covers which also starts at any other place of
+    any row's text; what is left is joined.  Texts of fewer bytes stay
+    whole.  A repeated row makes its whole text repeated.  Cuts may fall
+    inside a character, so the result is binary.  An empty table gives an
+    empty result.
+    """
+    keyed = _keyed(docs, id_col, text_col)
+    gone = repeats(keyed).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("__gone"))
+    joined = keyed.join(gone, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left")
+    columns = docs.columns
+    n = len(columns)
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for text, ranges in zip(batch.column(n), batch.column(n + 1), strict=True):
+                data = text.as_py().encode("utf-8", "surrogatepass")
+                kept, at, spans = [], 0, 0
+                end = -1
+                for r in ranges.as_py() or ():
+                    if r["first"] > end:
+                        spans += 1
+                        kept.append(data[at : r["first"]])
+                    end = max(end, r["last"] + LENGTH)
+                    at = end
+                kept.append(data[at:])
+                left = b"".join(kept)
+                for c, x in zip(out, (len(data), len(data) - len(left), spans, hashlib.sha256(left).hexdigest() if digest else left), strict=True):
+                    c.append(x)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=[*columns, *_MADE])
+
+    types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
+    return joined.select(*columns, "__text", "__gone").mapInArrow(cut, f"{types}__n_bytes long, __n_removed long, __n_spans long, __kept {'string' if digest else 'binary'}")
+
+
+_MADE = ("__n_bytes", "__n_removed", "__n_spans", "__kept")
+
+
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    # the text itself need not come back: the operator reads it through its key
+    found = remove_repeats(docs.select("doc_id", "text"), digest=True)
+    named: list[Column] = [F.col(a).alias(b) for a, b in zip(_MADE, ("n_bytes", "n_removed", "n_spans", "kept_sha256"), strict=True)]
+    return found.select("doc_id", *named)
+
+
+QUERIES = {"op6_suffix": op6_suffix}
 ORACLE: dict = {}
