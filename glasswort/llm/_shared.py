@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Characters that end a word: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Rows of a written table of keys (a few tens of bytes each) that may be broadcast; beyond it Spark joins by a shuffle.
+BROADCAST_ROWS = 500_000
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -55,6 +57,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """table with a hint to broadcast it, if its count allows; for tables that are cheap to count."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, nothing else; lower() is faster and the same where all is ASCII."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))

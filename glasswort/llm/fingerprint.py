@@ -13,14 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import documents, materialize, wide_hash
+from ._shared import documents, few, materialize, wide_hash
 
 #: Blanks that are left after NFKC, as a class of Java's regular expressions.
 _BLANK = r"\s\x{1c}-\x{1f}\x{85}\x{1680}\x{2028}\x{2029}"
 #: Rows of a stretch of the document order, and stretches at most.
 STRETCH, STRETCHES = 200, 4096
-#: Keys of groups that may be broadcast (24 bytes each); beyond it they are joined by a shuffle.
-BROADCAST_KEYS = 500_000
 
 
 def canonical(text: Column) -> Column:
@@ -45,8 +43,7 @@ def collided_groups(docs: DataFrame, text: Column) -> DataFrame:
     h1, h2 = wide_hash(F.col("form"))
     keyed = form.select("form", h1.alias("h1"), h2.alias("h2"))
     several = materialize(keyed.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "several")
-    chosen = F.broadcast(several) if several.count() <= BROADCAST_KEYS else several
-    ends = keyed.join(chosen, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("form").alias("a"), F.max("form").alias("b"))
+    ends = keyed.join(few(several), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("form").alias("a"), F.max("form").alias("b"))
     return materialize(ends.where("a <> b").select("h1", "h2"), "collided")
 
 

@@ -28,10 +28,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, materialize
+from ._shared import documents, few, materialize, wide_hash
 from ._shingles import shingle_sets
 
 PERCENT = 85
@@ -39,8 +39,6 @@ BANDS, ROWS, MANTISSA = 24, 5, 10
 REGISTERS = BANDS * ROWS
 #: Estimates so many standard deviations below the threshold end a candidate.
 DEVIATIONS = 6
-#: Nodes or keys (8 bytes each) that may be broadcast; beyond it they are joined by a shuffle.
-BROADCAST_KEYS = 500_000
 _U = np.uint64
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(0, 1 << 64, REGISTERS, np.uint64) | _U(1)
@@ -73,35 +71,39 @@ def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
     return max(0.0, ((a == b).mean() - chance) / (1 - chance))
 
 
+def content_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """128 bits that tell rows apart by id and text."""
+    return wide_hash(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+
+
 def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, node, n, keys, sketch): node is a 64-bit digest of the set; null, without keys, for the empty set."""
+    """(doc_id, k1, k2, text, node, n, keys, sketch): node is a 64-bit digest of the set; null, without keys, for the empty set.
+
+    k1 and k2 are content_key() of the row.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 nodes, sizes, keys, sketches = [], [], [], []
-                for s in shingle_sets(part.column(1).to_pylist()):
+                for s in shingle_sets(part.column(3).to_pylist()):
                     sketch = registers(s) if len(s) else None
                     nodes.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
                     sizes.append(len(s))
                     keys.append(band_keys(sketch) if len(s) else None)
                     sketches.append(sketch.tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                    names=["doc_id", "text", "node", "n", "keys", "sketch"],
+                    [*part.columns, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                    names=["doc_id", "k1", "k2", "text", "node", "n", "keys", "sketch"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, text string, node long, n long, keys array<long>, sketch binary"
+    k1, k2 = content_key(id_col, text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text")).mapInArrow(
+        run, "doc_id long, k1 long, k2 long, text string, node long, n long, keys array<long>, sketch binary"
     )
 
 
-def _few(table: DataFrame) -> DataFrame:
-    """A hint to broadcast a written table of checked size."""
-    return F.broadcast(table) if table.count() <= BROADCAST_KEYS else table
-
-
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of which the corrected estimate may reach percent."""
     j = percent / 100
@@ -179,7 +181,7 @@ def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent
     mixed = lambda t: t.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("least")).where("x <> y").select("key", "least")
     mine = materialize(mine.join(nodes.select("node", "n"), "node"), "members")
     keys = materialize(mixed(mine), "open-keys")
-    mine = materialize(mine.join(_few(keys), "key"), "open-members")
+    mine = materialize(mine.join(few(keys), "key"), "open-members")
     who = materialize(mine.select("node").distinct(), "open-nodes")
 
     def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,12 +193,12 @@ def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent
                     [pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), [len(s) for s in sets]))], names=["shingle", "node"]
                 )
 
-    held = nodes.join(_few(who), "node", "left_semi").select("node", "text").mapInArrow(shingles, "shingle long, node long")
+    held = nodes.join(few(who), "node", "left_semi").select("node", "text").mapInArrow(shingles, "shingle long, node long")
     alone = held.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
     mine = mine.join(alone, "node", "left").select("key", "node", "label", "n", "least", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
     # the best partner has all that is shared and nothing else, but is no smaller than the group's smallest
     mine = materialize(mine.where(f"100 * shared >= {percent} * (n + greatest(shared, least) - shared)"), "able-members")
-    mine = materialize(mine.drop("least").join(_few(materialize(mixed(mine), "able-keys").select("key")), "key", "left_semi"), "able")
+    mine = materialize(mine.drop("least").join(few(materialize(mixed(mine), "able-keys").select("key")), "key", "left_semi"), "able")
     x, y = (mine.toDF("key", *[f"{c}_{s}" for c in ("node", "label", "n", "shared")]) for s in "ab")
     most = F.least("shared_a", "shared_b")
     near = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
@@ -204,7 +206,7 @@ def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row.
+    """(doc_id, k1, k2, n_shingles, component_id, kept) for every row; k1 and k2 are content_key() of the row.
 
     Words are runs of anything but blanks, A-Z lower-cased; a document's set
     holds its distinct runs of five words, of fewer words the whole
@@ -219,11 +221,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(table.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
     banded = table.where("node IS NOT NULL").select(F.explode("keys").alias("key"), "node")
     shared = banded.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
-    members = materialize(banded.join(_few(materialize(shared, "shared-keys")), "key", "left_semi").distinct(), "members")
+    members = materialize(banded.join(few(materialize(shared, "shared-keys")), "key", "left_semi").distinct(), "members")
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     weight = materialize(members.join(materialize(sizes, "sizes"), "key").groupBy("node").agg(F.sum("size").alias("weight")), "weights")
-    reps = classes.join(_few(weight.select("node")), "node", "left_semi").toDF("node", "rep")
-    nodes = table.join(_few(materialize(reps, "candidates")), "node").where("doc_id <=> rep").select("node", "n", "sketch", "text")
+    reps = classes.join(few(weight.select("node")), "node", "left_semi").toDF("node", "rep")
+    nodes = table.join(few(materialize(reps, "candidates")), "node").where("doc_id <=> rep").select("node", "n", "sketch", "text")
     nodes = materialize(nodes, "nodes")
     if nodes.count() > weight.count():  # equal rows of one id
         nodes = materialize(nodes.dropDuplicates(["node"]), "nodes")
@@ -238,13 +240,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = labels.join(classes, "node").groupBy("label").agg(F.min("rep").alias("least"))
     ids = ids.join(linked, "label", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
     ids = materialize(ids, "component-ids")
-    full = table.where("node IS NOT NULL").select("doc_id", "n", "node").join(ids, "node").select("doc_id", "n", "component_id")
-    full = full.union(table.where("node IS NULL").select("doc_id", "n", "doc_id"))
-    return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    full = table.where("node IS NOT NULL").select("doc_id", "k1", "k2", "n", "node").join(ids, "node").select("doc_id", "k1", "k2", "n", "component_id")
+    full = full.union(table.where("node IS NULL").select("doc_id", "k1", "k2", "n", "doc_id"))
+    return full.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).drop("k1", "k2")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that near_duplicates() keeps; of rows of equal id and text, one."""
+    k1, k2 = content_key(id_col, text_col)
+    kept = near_duplicates(docs, id_col, text_col, percent).where("kept").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    keyed = docs.select("*", k1.alias("__k1"), k2.alias("__k2"))
+    return keyed.join(materialize(kept, "kept"), ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
 
 
 QUERIES = {"op9_minhash": op9_minhash}

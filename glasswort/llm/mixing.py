@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import WORD, documents, materialize
+from ._shared import WORD, documents, few, materialize
 
 MAX_REPEAT = 3
 BUCKETS = 1024
@@ -97,7 +97,7 @@ def mix(sized: DataFrame, source: str = "source", size: str = "__size", key: str
 def quality_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs with __weight from labels' quality; an id of several labels takes the best."""
     best = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("__label_id")).agg(F.max("quality").alias("__quality"))
-    joined = docs.join(best, F.col(id_col) == F.col("__label_id"), "left")
+    joined = docs.join(few(materialize(best, "labels")), F.col(id_col) == F.col("__label_id"), "left")
     weight = F.when(F.col("__quality") == 1, GOOD).when(F.col("__quality") == 0, BAD).otherwise(UNKNOWN)
     return joined.select(*docs.columns, weight.alias("__weight"))
 

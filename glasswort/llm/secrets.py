@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import ascii_lower, documents, materialize, wide_hash
+from ._shared import ascii_lower, documents, few, materialize, wide_hash
 
 
 @dataclass(frozen=True)
@@ -49,8 +49,6 @@ RULES = (
 )
 #: Strings that a derivation carries along, and characters of a class that it spells out.
 _STRINGS, _CLASS = 64, 8
-#: Candidate rows (24 bytes each) up to which they may be broadcast; beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 Query = list[list[frozenset[str]]]
 
@@ -188,7 +186,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     keyed, may = docs.select("*"), F.lit(0).cast("long")
     if vocabulary:
         found = materialize(candidates(postings(docs.select(id_col, text_col), id_col, text_col, vocabulary), queries, vocabulary), "candidates")
-        found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+        found = few(found)
         k1, k2 = _key(id_col, text)
         keyed = docs.select("*", k1.alias("__k1"), k2.alias("__k2")).join(found.toDF("__c1", "__c2", "__rules"), (F.col("__k1") == F.col("__c1")) & (F.col("__k2") == F.col("__c2")), "left")
         may = F.coalesce("__rules", F.lit(0).cast("long"))

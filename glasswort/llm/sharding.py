@@ -1,2 +1,225 @@
-QUERIES: dict = {}
+"""Sharding by size-tiered compaction under a versioned manifest.
+
+A store is a folder of immutable Parquet shards and of manifests, one a
+version, that list the shards alive.  An arrival is appended as small
+shards.  Compaction groups runs of similar size (a tier spans a factor of
+FANOUT) and merges a tier that has FANOUT runs or more into files of up to
+the target size, moving partitions together without a shuffle.
+
+A version is committed by creating its manifest under a name that must not
+exist yet: readers see the old version or the new one, whatever fails, and
+of two writers one retries on the other's version.  Files that no manifest
+names are dead; vacuum() removes them.
+"""
+
+from __future__ import annotations
+
+import json
+import math
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ._shared import documents, few, fresh_path, hadoop_path
+
+TARGET = 128 << 20
+FANOUT = 4
+#: Arrivals of the query, and rows of a shard as it arrives.
+ARRIVALS, ARRIVAL_ROWS = 4, 5000
+
+
+class Conflict(RuntimeError):
+    """Another writer took the version."""
+
+
+@dataclass(frozen=True)
+class Shard:
+    file: str
+    size: int
+    level: int
+
+
+class ShardStore:
+    def __init__(self, spark: SparkSession, root: str, schema=None, target: int = TARGET, fanout: int = FANOUT):
+        if target < 1 or fanout < 2:
+            raise ValueError("target must be positive and fanout at least 2")
+        self.spark, self.root, self.schema, self.target, self.fanout = spark, root.rstrip("/"), schema, target, fanout
+
+    # manifests
+
+    def _manifest(self, version: int) -> str:
+        return f"{self.root}/manifests/{version:010d}.json"
+
+    def versions(self) -> list[int]:
+        fs, p = hadoop_path(self.spark, f"{self.root}/manifests")
+        if not fs.exists(p):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        return sorted(int(n[:10]) for n in names if n.endswith(".json") and not n.startswith((".", "_")))
+
+    def load(self, version: int | None = None) -> dict:
+        """A version's manifest; without one, the last; of an empty store, version 0 without shards."""
+        known = self.versions()
+        if version is None:
+            version = known[-1] if known else 0
+        if version == 0:
+            return {"version": 0, "shards": [], "arrivals": []}
+        fs, p = hadoop_path(self.spark, self._manifest(version))
+        stream = fs.open(p)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text)
+
+    def commit(self, old: dict, shards: list[Shard], arrivals: list[str]) -> dict:
+        """The version after `old`.  Written aside and renamed to a name that must be free."""
+        new = {"version": old["version"] + 1, "shards": [vars(s) for s in shards], "arrivals": arrivals}
+        fs, aside = hadoop_path(self.spark, f"{self.root}/manifests/.{uuid.uuid4().hex}")
+        stream = fs.create(aside, False)
+        try:
+            stream.write(bytearray(json.dumps(new).encode()))
+        finally:
+            stream.close()
+        final = hadoop_path(self.spark, self._manifest(new["version"]))[1]
+        if fs.exists(final) or not fs.rename(aside, final):
+            fs.delete(aside, False)
+            raise Conflict(f"version {new['version']} exists")
+        return new
+
+    # shards
+
+    def _write(self, df: DataFrame, rows: int | None, level: int) -> list[Shard]:
+        """df as shards of a folder of their own; nothing refers to them until a commit does."""
+        folder = f"data/{uuid.uuid4().hex}"
+        writer = df.write.option("maxRecordsPerFile", rows) if rows else df.write
+        writer.parquet(f"{self.root}/{folder}")
+        fs, p = hadoop_path(self.spark, f"{self.root}/{folder}")
+        files = sorted((s.getPath().getName(), s.getLen()) for s in fs.listStatus(p))
+        return [Shard(f"{folder}/{name}", size, level) for name, size in files if name.endswith(".parquet")]
+
+    def _retry(self, change) -> dict:
+        while True:
+            old = self.load()
+            try:
+                return change(old)
+            except Conflict:
+                continue
+
+    def append(self, df: DataFrame, arrival: str, rows: int = ARRIVAL_ROWS) -> dict:
+        """The version with df's shards.  An arrival that a version already has is not added again."""
+        if self.schema is None:
+            self.schema = df.schema
+        if arrival in self.load()["arrivals"]:
+            return self.load()
+        made = self._write(df, rows, 0)
+
+        def change(old: dict) -> dict:
+            if arrival in old["arrivals"]:
+                return old
+            return self.commit(old, [*(Shard(**s) for s in old["shards"]), *made], [*old["arrivals"], arrival])
+
+        return self._retry(change)
+
+    def tier(self, size: int) -> int:
+        return int(math.log(max(size, 1), self.fanout))
+
+    def due(self, shards: list[Shard]) -> list[list[Shard]]:
+        """Tiers to merge: of shards under the target, those of fanout or more."""
+        tiers: dict[int, list[Shard]] = {}
+        for s in shards:
+            if s.size < self.target:
+                tiers.setdefault(self.tier(s.size), []).append(s)
+        return [t for _, t in sorted(tiers.items()) if len(t) >= self.fanout]
+
+    def read(self, shards: list[Shard]) -> DataFrame:
+        if not shards:
+            return self.spark.createDataFrame([], self.schema)
+        reader = self.spark.read.schema(self.schema) if self.schema is not None else self.spark.read
+        return reader.parquet(*[f"{self.root}/{s.file}" for s in shards])
+
+    def compact(self) -> dict:
+        """Merges, from the smallest tier up, until no tier is due; one version a merge.
+
+        Shards that another writer removed meanwhile make the merge void.
+        """
+        while True:
+            old = self.load()
+            due = self.due([Shard(**s) for s in old["shards"]])
+            if not due:
+                return old
+            runs = due[0]
+            files = max(1, math.ceil(sum(s.size for s in runs) / self.target))
+            merged = self._write(self.read(runs).coalesce(files), None, max(s.level for s in runs) + 1)
+            gone = {s.file for s in runs}
+
+            def change(now: dict, gone=gone, merged=merged) -> dict:
+                alive = [Shard(**s) for s in now["shards"]]
+                if not gone <= {s.file for s in alive}:
+                    return now
+                return self.commit(now, [*(s for s in alive if s.file not in gone), *merged], now["arrivals"])
+
+            if self._retry(change)["version"] > old["version"] and len(merged) >= len(runs):
+                return self.load()  # compression left nothing to gain
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Removes manifests but the last `keep`, and shards that none of those names; returns how many files went.
+
+        Not while a writer is at work: its shards are named only once it commits.
+        """
+        known = self.versions()
+        alive = {s["file"] for v in known[-keep:] for s in self.load(v)["shards"]}
+        removed = 0
+        for v in known[:-keep]:
+            fs, p = hadoop_path(self.spark, self._manifest(v))
+            removed += fs.delete(p, False)
+        fs, p = hadoop_path(self.spark, f"{self.root}/data")
+        for folder in fs.listStatus(p) if fs.exists(p) else []:
+            name = folder.getPath().getName()
+            files = [s.getPath() for s in fs.listStatus(folder.getPath())]
+            dead = [f for f in files if f"data/{name}/{f.getName()}" not in alive]
+            if len([f for f in dead if f.getName().endswith(".parquet")]) == len([f for f in files if f.getName().endswith(".parquet")]):
+                removed += len(dead)
+                fs.delete(folder.getPath(), True)
+            else:
+                removed += sum(fs.delete(f, False) for f in dead if f.getName().endswith(".parquet"))
+        return removed
+
+    def snapshot(self, version: int | None = None) -> DataFrame:
+        """The rows of a version, with __shard, its file below the root."""
+        shards = [Shard(**s) for s in self.load(version)["shards"]]
+        if not shards:
+            return self.read([]).select("*", F.lit(None).cast("string").alias("__shard"))
+        return self.read(shards).select("*", F.regexp_extract(F.col("_metadata.file_path"), r"(data/[^/]+/[^/]+)$", 1).alias("__shard"))
+
+
+def shard_documents(docs: DataFrame, root: str, id_col: str = "doc_id", arrivals: int = ARRIVALS, target: int = TARGET, fanout: int = FANOUT) -> ShardStore:
+    """A store of docs: appended in `arrivals` batches by a hash of the id, compacted after each.
+
+    Rows are kept as they are, nulls, repeats and extra columns included; an
+    empty table makes a version without rows.
+    """
+    store = ShardStore(docs.sparkSession, root, docs.schema, target, fanout)
+    for batch in range(arrivals):
+        store.append(docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(arrivals)) == batch), f"batch-{batch}")
+        store.compact()
+        store.vacuum()
+    return store
+
+
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text_sha256, n_chars, shard, shard_bytes, shard_level, version) of every row as the store gives it back."""
+    store = shard_documents(documents(spark, sf_dir), fresh_path(spark, "shards"))
+    now = store.load()
+    names = {s["file"]: i for i, s in enumerate(now["shards"])}
+    listed = [(s["file"], names[s["file"]], s["size"], s["level"]) for s in now["shards"]]
+    table = spark.createDataFrame(listed, "__file string, shard long, shard_bytes long, shard_level long")
+    rows = store.snapshot().select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"), "__shard")
+    found = rows.join(few(table), F.col("__shard") == F.col("__file"))
+    return found.select("doc_id", "text_sha256", "n_chars", "shard", "shard_bytes", "shard_level", F.lit(now["version"]).cast("long").alias("version"))
+
+
+QUERIES = {"op3_shards": op3_shards}
 ORACLE: dict = {}

@@ -30,12 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, materialize, wide_hash
+from ._shared import documents, few, materialize, wide_hash
 
 LENGTH, GRAM, CELL = 400, 200, 50
 #: Strings of one construction: as many classes as fit, one class at least.
 STRINGS = 1 << 14
-BROADCAST_KEYS = 500_000
 _CHUNK, _BITS = 1 << 19, 21
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -215,30 +214,26 @@ def _repeated_cells(cells: DataFrame) -> DataFrame:
     return dealt.mapInArrow(solve, "core long, around long, hits array<struct<a:bigint,b:bigint>>")
 
 
-def _few(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.count() <= BROADCAST_KEYS else table
-
-
 def repeats(keyed: DataFrame) -> DataFrame:
     """(k1, k2, first, last): ranges of starts of repeated strings."""
     table = materialize(run_table(keyed), "runs")
     flat = table.select("k1", "k2", F.explode("runs").alias("r")).select("k1", "k2", "r.*")
     several = flat.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    shared = materialize(flat.join(_few(materialize(several, "grams")), "gram", "left_semi"), "shared-runs")
+    shared = materialize(flat.join(few(materialize(several, "grams")), "gram", "left_semi"), "shared-runs")
     kinds = materialize(shared.groupBy("gram", "around").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", *_RUN[:3])).alias("one")), "kinds")
     twins = materialize(kinds.where("c > 1").select("gram", "around"), "twins")
-    whole = shared.join(_few(twins), ["gram", "around"], "left_semi").select("k1", "k2", F.col("p").alias("first"), (F.col("p") + F.col("more")).alias("last"))
+    whole = shared.join(few(twins), ["gram", "around"], "left_semi").select("k1", "k2", F.col("p").alias("first"), (F.col("p") + F.col("more")).alias("last"))
     mixed = materialize(kinds.groupBy("gram").agg(F.count("*").alias("d"), F.min("c").alias("c")).where("d > 1 AND c = 1").select("gram"), "mixed")
-    one = kinds.join(_few(mixed), "gram", "left_semi").select("one.*", "gram", "around")
+    one = kinds.join(few(mixed), "gram", "left_semi").select("one.*", "gram", "around")
     chosen = one.groupBy("k1", "k2").agg(F.collect_set(F.struct(*_RUN)).alias("runs"))
     cells = materialize(cell_table(keyed.select("__k1", "__k2", "__text"), materialize(chosen, "open-runs")).dropDuplicates(["core", "around", "k1", "k2", "p"]), "cells")
     sorts = materialize(cells.groupBy("core", "around").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "p")).alias("one")), "sorts")
-    equal = cells.join(_few(materialize(sorts.where("c > 1").select("core", "around"), "equal")), ["core", "around"], "left_semi")
+    equal = cells.join(few(materialize(sorts.where("c > 1").select("core", "around"), "equal")), ["core", "around"], "left_semi")
     span = F.octet_length("span") - LENGTH
     equal = equal.select("k1", "k2", F.col("p").alias("first"), (F.col("p") + span).alias("last"))
     unlike = materialize(sorts.groupBy("core").agg(F.count("*").alias("d"), F.min("c").alias("c")).where("d > 1 AND c = 1").select("core"), "unlike")
-    asked = sorts.join(_few(unlike), "core", "left_semi").select("core", "around", "one.*")
-    asked = cells.join(_few(materialize(asked, "asked")), ["core", "around", "k1", "k2", "p"], "left_semi")
+    asked = sorts.join(few(unlike), "core", "left_semi").select("core", "around", "one.*")
+    asked = cells.join(few(materialize(asked, "asked")), ["core", "around", "k1", "k2", "p"], "left_semi")
     solved = materialize(_repeated_cells(asked).where("size(hits) > 0"), "solved")
     parts = cells.select("core", "around", "k1", "k2", "p", "begin").join(solved, ["core", "around"]).select("k1", "k2", "p", "begin", F.explode("hits").alias("h"))
     parts = parts.select("k1", "k2", (F.col("p") + F.col("h.a") - F.col("begin")).alias("first"), (F.col("p") + F.col("h.b") - F.col("begin")).alias("last"))
@@ -290,8 +285,7 @@ _MADE = ("__n_bytes", "__n_removed", "__n_spans", "__kept")
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    # the text itself need not come back: the operator reads it through its key
-    found = remove_repeats(docs.select("doc_id", "text"), digest=True)
+    found = remove_repeats(docs, digest=True)
     named: list[Column] = [F.col(a).alias(b) for a, b in zip(_MADE, ("n_bytes", "n_removed", "n_spans", "kept_sha256"), strict=True)]
     return found.select("doc_id", *named)
 
