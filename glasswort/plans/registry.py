@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("verdicts", "evaluation")
+MODULES = ("verdicts", "evaluation", "selection", "joins")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
