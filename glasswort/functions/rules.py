@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .let import let
+
 EVIDENCE = "array<struct<kind:string,text:string,generator:string>>"
 TOOL, PARAMS, FREETEXT = "tool", "params", "freetext"
 
@@ -137,16 +139,19 @@ def name_evidence(where: Column, text: Column, role: Column) -> Column:
 
     A specific name in a weak place still names the generator.
     """
-    hit = generator_name(text)
-    name, specific = hit["name"], hit["specific"]
-    decisive = (role == TOOL) | ((role == PARAMS) & specific)
-    mark = F.when(name.isin(*PARTIAL_GENERATORS), PARTIAL_MARK).otherwise("")
-    return (
-        F.when(name.isNull(), none())
-        .when(decisive, claim("ai", _text(where, " names ", name, mark), name))
-        .when(specific, claim("weak", _text(where, " mentions ", name), name))
-        .otherwise(claim("weak", _text(where, " mentions ", name, " (ambiguous wording)")))
-    )
+
+    def weigh(hit: Column) -> Column:
+        name, specific = hit["name"], hit["specific"]
+        decisive = (role == TOOL) | ((role == PARAMS) & specific)
+        mark = F.when(name.isin(*PARTIAL_GENERATORS), PARTIAL_MARK).otherwise("")
+        return (
+            F.when(name.isNull(), none())
+            .when(decisive, claim("ai", _text(where, " names ", name, mark), name))
+            .when(specific, claim("weak", _text(where, " mentions ", name), name))
+            .otherwise(claim("weak", _text(where, " mentions ", name, " (ambiguous wording)")))
+        )
+
+    return let(generator_name(text), weigh)
 
 
 def setting_keys(text: Column) -> Column:
@@ -248,7 +253,9 @@ def source_type(term: Column) -> Column:
 
 def source_type_evidence(where: Column, text: Column) -> Column:
     def one(term: Column) -> Column:
-        known = source_type(term)
+        return let(source_type(term), lambda known: told(term, known))
+
+    def told(term: Column, known: Column) -> Column:
         mark = F.when(known["partial"], PARTIAL_MARK).otherwise("")
         short = F.when(F.length(term) > 60, F.concat(F.left(term, F.lit(60)), F.lit("..."))).otherwise(term)
         return (
@@ -315,17 +322,20 @@ def png_evidence(key: Column, value: Column) -> Column:
     )
 
 
+def _each_name(values: Column, where: Column, role: Column) -> Column:
+    return F.flatten(F.transform(values, lambda v: name_evidence(where, v, role)))
+
+
 def xmp_evidence(text: Column) -> Column:
     """Evidence of a file's XMP packets, joined by newlines."""
     parts = [source_type_evidence(F.lit("XMP"), text)]
     for names, role in ((XMP_TOOL, TOOL), (XMP_FREETEXT, FREETEXT)):
         for local in names:
-            parts.append(F.flatten(F.transform(xmp_values(text, local), lambda v, local=local, role=role: name_evidence(F.lit(f"XMP:{local}"), v, F.lit(role)))))
+            parts.append(_each_name(xmp_values(text, local), F.lit(f"XMP:{local}"), F.lit(role)))
     for local, fact in XMP_CAMERA.items():
         parts.append(F.when(F.size(xmp_values(text, local)) > 0, claim("camera", F.lit(fact))).otherwise(none()))
-    tags = aigc_tags(text)
-    flagged = claim("ai", _text("XMP carries generative-AI namespace tags: ", F.array_join(F.slice(tags, 1, 4), ", ")), F.lit("unknown (AIGC-labelled)"))
-    parts.append(F.when(F.size(tags) > 0, flagged).otherwise(none()))
+    flagged = lambda tags: claim("ai", _text("XMP carries generative-AI namespace tags: ", F.array_join(F.slice(tags, 1, 4), ", ")), F.lit("unknown (AIGC-labelled)"))
+    parts.append(let(aigc_tags(text), lambda tags: F.when(F.size(tags) > 0, flagged(tags)).otherwise(none())))
     return F.concat(*parts)
 
 

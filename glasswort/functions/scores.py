@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .let import let
+
 #: Where probabilities and log-odds are clipped.
 PROBABILITY_FLOOR, LOG_ODDS_LIMIT = 1e-6, 60.0
 LEAST_WEIGHT = 1e-6
@@ -215,23 +217,22 @@ def jpeg_quality(luma: Column, chroma: Column) -> Column:
     is taken.  A luma table of ones is quality 100.
     """
     base = F.array(*[F.lit(b) for b in IJG_LUMA])
-    pairs = F.filter(F.arrays_zip(luma.alias("t"), base.alias("b")), lambda p: (p["t"] > 1) & (p["t"] < 255))
-    scales = F.array_sort(F.transform(pairs, lambda p: (100.0 * p["t"] - 50) / p["b"]))
-    s = F.get(scales, F.floor(F.size(scales) / 2).cast("int"))
-    guess = F.bround(F.when(s > 100, 5000.0 / s).otherwise((200.0 - s) / 2)).cast("int")
+    none = F.lit(None).cast("int")
     both = F.size(chroma) == 64
     apart = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
-    held = [F.least(F.lit(100), F.greatest(F.lit(1), guess + d)) for d in (-1, 0, 1)]
-    tries = F.array(
-        *[
-            F.struct((apart(luma, ijg_table(IJG_LUMA, q)) + F.when(both, apart(chroma, ijg_table(IJG_CHROMA, q))).otherwise(F.lit(0).cast("long"))).alias("err"), q.alias("q"))
-            for q in held
-        ]
-    )
-    best = F.array_min(tries)
-    ones = F.forall(luma, lambda t: t == 1)
-    exact_ones = F.when(~both | F.forall(chroma, lambda t: t == 1), 100)
-    none = F.lit(None).cast("int")
-    estimated = F.when(F.size(luma) != 64, none).when(ones, 100).when(F.size(scales) > 0, best["q"])
-    exact = F.when(F.size(luma) != 64, none).when(ones, exact_ones).when((F.size(scales) > 0) & (best["err"] == 0), best["q"])
-    return F.struct(estimated.cast("int").alias("estimated"), exact.cast("int").alias("exact"))
+
+    def tried(q: Column) -> Column:
+        err = apart(luma, ijg_table(IJG_LUMA, q)) + F.when(both, apart(chroma, ijg_table(IJG_CHROMA, q))).otherwise(F.lit(0).cast("long"))
+        return F.struct(err.alias("err"), q.alias("q"))
+
+    def nearest(scales: Column) -> Column:
+        s = F.get(scales, F.floor(F.size(scales) / 2).cast("int"))
+        guess = F.bround(F.when(s > 100, 5000.0 / s).otherwise((200.0 - s) / 2)).cast("int")
+        held = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.least(F.lit(100), F.greatest(F.lit(1), guess + d)))
+        found = let(F.array_min(F.transform(held, tried)), lambda b: F.struct(b["q"].alias("estimated"), F.when(b["err"] == 0, b["q"]).alias("exact")))
+        return F.when(F.size(scales) > 0, found).otherwise(F.struct(none.alias("estimated"), none.alias("exact")))
+
+    pairs = F.filter(F.arrays_zip(luma.alias("t"), base.alias("b")), lambda p: (p["t"] > 1) & (p["t"] < 255))
+    scales = F.array_sort(F.transform(pairs, lambda p: (100.0 * p["t"] - 50) / p["b"]))
+    ones = F.struct(F.lit(100).alias("estimated"), F.when(~both | F.forall(chroma, lambda t: t == 1), 100).alias("exact"))
+    return F.when(F.size(luma) != 64, F.struct(none.alias("estimated"), none.alias("exact"))).when(F.forall(luma, lambda t: t == 1), ones).otherwise(let(scales, nearest))
