@@ -25,13 +25,13 @@ def clean(score: Column) -> Column:
 
 
 def logit(p: Column) -> Column:
-    p = F.least(F.greatest(p.cast("double"), F.lit(PROBABILITY_FLOOR)), F.lit(1 - PROBABILITY_FLOOR))
-    return F.log(p / (1 - p))
+    inside = F.least(F.greatest(p.cast("double"), F.lit(PROBABILITY_FLOOR)), F.lit(1 - PROBABILITY_FLOOR))
+    return F.when(p.isNotNull(), F.log(inside / (1 - inside)))  # least and greatest would skip a null
 
 
 def sigmoid(z: Column) -> Column:
-    z = F.least(F.greatest(z.cast("double"), F.lit(-LOG_ODDS_LIMIT)), F.lit(LOG_ODDS_LIMIT))
-    return 1 / (1 + F.exp(-z))
+    inside = F.least(F.greatest(z.cast("double"), F.lit(-LOG_ODDS_LIMIT)), F.lit(LOG_ODDS_LIMIT))
+    return F.when(z.isNotNull(), 1 / (1 + F.exp(-inside)))
 
 
 def platt(p: Column, a: Column | float, b: Column | float) -> Column:
@@ -127,7 +127,7 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     n = F.when(n > 0, n.cast("double"))
     p = k / n
     middle, width = (p + z * z / (2 * n)) / (1 + z * z / n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
-    return F.greatest(F.lit(0.0), middle - width), F.least(F.lit(1.0), middle + width)
+    return F.when(p.isNotNull(), F.greatest(F.lit(0.0), middle - width)), F.when(p.isNotNull(), F.least(F.lit(1.0), middle + width))
 
 
 def bar(p: Column, width: int = 20) -> Column:

@@ -34,7 +34,8 @@ def with_features(manifest: DataFrame, features: DataFrame, backbone: str) -> Da
     """manifest with the backbone's feature vectors; an error if one is missing."""
     mine = features.where(F.col("backbone") == backbone).select("id", "features")
     joined = manifest.join(mine, "id", "left")
-    return joined.select("*", F.when(F.col("features").isNull(), F.raise_error(F.concat(F.lit("no features for id "), F.col("id").cast("string")))).alias("__e")).drop("__e")
+    gap = F.raise_error(F.concat(F.lit("no features for id "), F.col("id").cast("string"))).cast(mine.schema["features"].dataType)
+    return joined.select(*manifest.columns, F.coalesce(F.col("features"), gap).alias("features"))
 
 
 def to_do(rows: DataFrame, cached: DataFrame) -> DataFrame:

@@ -168,8 +168,8 @@ def _png(data: bytes) -> Decoded:
         if colour == 0:
             values = (values * (255 // ((1 << depth) - 1))).astype(np.uint8)
     elif depth == 16:
-        values = rows.view(">u2").reshape(height, width, channels).squeeze()
-        values = values if colour == 0 else (values >> 8).astype(np.uint8)
+        values = rows.view(">u2").reshape(height, width, channels)
+        values = values[..., 0] if colour == 0 else (values >> 8).astype(np.uint8)
     else:
         values = rows.reshape(height, width, channels)
         values = values[..., 0] if channels == 1 else values
