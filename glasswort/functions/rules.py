@@ -189,19 +189,58 @@ def json_keys(text: Column) -> Column:
     return F.when(F.try_parse_json(text).isNotNull() & F.coalesce(sampled, F.lit(False)), known).otherwise(F.array().cast("array<string>"))
 
 
+def record_evidence(where: Column, what: Column, text: Column, kind: Column, vendor: Column | None = None) -> Column:
+    """Evidence of a field by its kind, without its source types; every rule stands here once.
+
+    vendor: the key alone is a claim.  params: generation settings, then
+    names.  freetext and ladder_params: fields into which tools put whole
+    records, so structured shapes count in full, and only without one do
+    names.  tool and names: names alone.  Anything else says nothing.
+    """
+
+    def judge(c: Column) -> Column:
+        settings = claim("ai", _text(what, " holds A1111 generation settings"), F.lit("Stable Diffusion (A1111-style)"))
+        graph = claim("ai", _text(what, " holds a ComfyUI node graph"), F.lit("ComfyUI"))
+        listed = F.when(c["kind"] == "params", _text(" (", F.array_join(F.slice(c["keys"], 1, 5), ", "), ")")).otherwise("")
+        keys = claim("ai", _text(what, " holds generation parameters", listed), F.lit("unknown diffusion pipeline"))
+        job = claim("ai", _text(what, " holds a Midjourney job id"), F.lit("Midjourney"))
+        hint = c["kind"] == "freetext"
+        flags = claim(F.when(hint, "weak").otherwise("ai"), _text(what, F.when(hint, " carries").otherwise(" holds"), " Midjourney prompt flags"), F.lit("Midjourney"))
+        whole = c["kind"].isin("freetext", "ladder_params")
+        record = none() if vendor is None else claim("ai", _text(what, " is a ", vendor, " record"), vendor)
+        shapes = (
+            F.when(c["kind"] == "vendor", record)
+            .when(~whole & (c["kind"] != "params"), none())
+            .when(whole & c["settings"], settings)
+            .when(c["graph"], graph)
+            .when(c["settings"], settings)
+            .when(F.size(c["keys"]) >= 3, keys)
+            .when(whole & text.rlike(JOB_ID), job)
+            .when(whole & text.rlike(PROMPT_FLAGS), flags)
+            .otherwise(none())
+        )
+        role = F.when(c["kind"] == "tool", TOOL).when(c["kind"].isin("vendor", "params", "ladder_params"), PARAMS).otherwise(FREETEXT)
+
+        def names(found: Column) -> Column:
+            wanted = c["kind"].isin("vendor", "tool", "names") | ((c["kind"] == "params") & ~c["graph"]) | (whole & (F.size(found) == 0))
+            return F.concat(found, F.when(wanted, name_evidence(where, text, role)).otherwise(none()))
+
+        return let(shapes, names)
+
+    record = kind.isin("params", "freetext", "ladder_params")
+    no_keys = F.array().cast("array<string>")
+    facts = F.struct(
+        kind.alias("kind"),
+        (record & is_settings(text)).alias("settings"),
+        F.when(record, is_node_graph(text)).otherwise(False).alias("graph"),
+        F.when(record & F.contains(text, F.lit("{")), json_keys(text)).otherwise(no_keys).alias("keys"),
+    )
+    return let(facts, judge)
+
+
 def ladder(where: Column, what: Column, text: Column, role: Column) -> Column:
     """A field into which tools put whole records: structured shapes count in full anywhere, names by the field's role."""
-    flags = F.when(role == FREETEXT, claim("weak", _text(what, " carries Midjourney prompt flags"), F.lit("Midjourney"))).otherwise(
-        claim("ai", _text(what, " holds Midjourney prompt flags"), F.lit("Midjourney"))
-    )
-    return (
-        F.when(is_settings(text), claim("ai", _text(what, " holds A1111 generation settings"), F.lit("Stable Diffusion (A1111-style)")))
-        .when(is_node_graph(text), claim("ai", _text(what, " holds a ComfyUI node graph"), F.lit("ComfyUI")))
-        .when(F.size(json_keys(text)) >= 3, claim("ai", _text(what, " holds generation parameters"), F.lit("unknown diffusion pipeline")))
-        .when(text.rlike(JOB_ID), claim("ai", _text(what, " holds a Midjourney job id"), F.lit("Midjourney")))
-        .when(text.rlike(PROMPT_FLAGS), flags)
-        .otherwise(name_evidence(where, text, role))
-    )
+    return record_evidence(where, what, text, F.when(role == PARAMS, "ladder_params").otherwise("freetext"))
 
 
 def ladder_rung(text: Column) -> Column:
@@ -298,40 +337,30 @@ def png_key_class(key: Column, value: Column) -> Column:
     )
 
 
+def png_vendor(key: Column) -> Column:
+    found = F.lit("InvokeAI")
+    for k, v in VENDOR_KEYS.items():
+        found = F.when(F.lower(key) == k, F.lit(v)).otherwise(found)
+    return found
+
+
 def png_evidence(key: Column, value: Column) -> Column:
     """Evidence of a PNG text chunk, without its source types."""
-    where, what = _text("PNG:", key), _text("PNG '", key, "' chunk")
-    name, kind = F.lower(key), png_key_class(key, value)
-    vendor = F.lit("InvokeAI")
-    for k, v in VENDOR_KEYS.items():
-        vendor = F.when(name == k, F.lit(v)).otherwise(vendor)
-    keys = json_keys(value)
-    by_name = name_evidence(where, value, F.lit(PARAMS))
-    listed = F.when(F.size(keys) >= 3, claim("ai", _text(what, " holds generation parameters (", F.array_join(F.slice(keys, 1, 5), ", "), ")"), F.lit("unknown diffusion pipeline"))).otherwise(none())
-    params = (
-        F.when(is_node_graph(value), claim("ai", _text(what, " holds a ComfyUI node graph"), F.lit("ComfyUI")))
-        .when(is_settings(value), F.concat(claim("ai", _text(what, " holds A1111 generation settings"), F.lit("Stable Diffusion (A1111-style)")), by_name))
-        .otherwise(F.concat(listed, by_name))
-    )
-    return (
-        F.when(kind == "vendor", F.concat(claim("ai", _text(what, " is a ", vendor, " record"), vendor), by_name))
-        .when(kind == "params", params)
-        .when(kind == "tool", name_evidence(where, value, F.lit(TOOL)))
-        .when(kind == "freetext", ladder(where, what, value, F.lit(FREETEXT)))
-        .otherwise(none())
-    )
+    return record_evidence(_text("PNG:", key), _text("PNG '", key, "' chunk"), value, png_key_class(key, value), png_vendor(key))
 
 
-def _each_name(values: Column, where: Column, role: Column) -> Column:
-    return F.flatten(F.transform(values, lambda v: name_evidence(where, v, role)))
+def _field(local: str, role: str):
+    return lambda v: F.struct(F.lit(f"XMP:{local}").alias("where"), v.alias("value"), F.lit(role).alias("role"))
 
 
 def xmp_evidence(text: Column) -> Column:
     """Evidence of a file's XMP packets, joined by newlines."""
     parts = [source_type_evidence(F.lit("XMP"), text)]
+    fields = []
     for names, role in ((XMP_TOOL, TOOL), (XMP_FREETEXT, FREETEXT)):
         for local in names:
-            parts.append(_each_name(xmp_values(text, local), F.lit(f"XMP:{local}"), F.lit(role)))
+            fields.append(F.transform(xmp_values(text, local), _field(local, role)))
+    parts.append(F.flatten(F.transform(F.concat(*fields), lambda f: name_evidence(f["where"], f["value"], f["role"]))))
     for local, fact in XMP_CAMERA.items():
         parts.append(F.when(F.size(xmp_values(text, local)) > 0, claim("camera", F.lit(fact))).otherwise(none()))
     flagged = lambda tags: claim("ai", _text("XMP carries generative-AI namespace tags: ", F.array_join(F.slice(tags, 1, 4), ", ")), F.lit("unknown (AIGC-labelled)"))

@@ -52,20 +52,21 @@ def walk_files(files: DataFrame, content: str = "content") -> DataFrame:
 
 def field_evidence(f: Column) -> Column:
     """Evidence of one field by its scan; for PNG chunks `where` is the key."""
-    where, what, text, scan = f["where"], f["what"], f["text"], f["scan"]
-    dst = rules.source_type_evidence(F.when(scan == "png", F.concat(F.lit("PNG:"), where)).otherwise(where), text)
-    free, params, tool = F.lit(rules.FREETEXT), F.lit(rules.PARAMS), F.lit(rules.TOOL)
-    names = lambda role: rules.name_evidence(where, text, role)
-    return (
-        F.when(scan == "png", F.concat(rules.png_evidence(where, text), dst))
-        .when(scan == "software", F.concat(F.when(rules.is_settings(text), rules.ladder(where, what, text, free)).otherwise(names(tool)), dst))
-        .when(scan.startswith("ladder"), F.concat(rules.ladder(where, what, text, F.when(scan == "ladder_params", params).otherwise(free)), dst))
-        .when(scan.startswith("names_tool"), F.concat(names(tool), F.when(scan.endswith("_dst"), dst).otherwise(rules.none())))
-        .when(scan.startswith("names_freetext"), F.concat(names(free), F.when(scan.endswith("_dst"), dst).otherwise(rules.none())))
-        .when(scan == "xmp", rules.xmp_evidence(text))
-        .when(scan == "dst", dst)
-        .otherwise(rules.none())
+    key, text, scan = f["where"], f["text"], f["scan"]
+    png = scan == "png"
+    where, what = F.when(png, F.concat(F.lit("PNG:"), key)).otherwise(key), F.when(png, F.concat(F.lit("PNG '"), key, F.lit("' chunk"))).otherwise(f["what"])
+    kind = (
+        F.when(png, rules.png_key_class(key, text))
+        .when(scan == "software", F.when(rules.is_settings(text), "freetext").otherwise("tool"))
+        .when(scan == "ladder_params", "ladder_params")
+        .when(scan == "ladder_freetext", "freetext")
+        .when(scan.startswith("names_tool"), "tool")
+        .when(scan.startswith("names_freetext"), "names")
+        .otherwise("none")
     )
+    typed = png | scan.isin("software", "dst") | scan.startswith("ladder") | scan.endswith("_dst")
+    said = F.concat(rules.record_evidence(where, what, text, kind, rules.png_vendor(key)), F.when(typed, rules.source_type_evidence(where, text)).otherwise(rules.none()))
+    return F.when(scan == "xmp", rules.xmp_evidence(text)).otherwise(said)
 
 
 def provenance(files: DataFrame, content: str = "content") -> DataFrame:

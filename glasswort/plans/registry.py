@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("verdicts", "evaluation", "selection", "joins", "text_rules", "vectors")
+MODULES = ("verdicts", "evaluation", "selection", "joins", "text_rules", "vectors", "provenance")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
