@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that end a word: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -72,5 +73,10 @@ def wide_hash(*cols: Column) -> tuple[Column, Column]:
     return F.xxhash64(*cols), F.xxhash64(F.lit(0x5EED), *cols)
 
 
+def schema_of(table: DataFrame, keep: list[str], made: str) -> T.StructType:
+    """The kept columns' fields, then those of a DDL string."""
+    return T.StructType([*(table.schema[c] for c in keep), *T.StructType.fromDDL(made).fields])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._shared import documents
+from ._shared import documents, schema_of
 
 FILE = "byte_bpe_50k.tiktoken"
 #: Pieces that an encoder remembers, in two generations; only speed depends on it.
@@ -149,7 +149,6 @@ def encode_table(
         data = docs.sparkSession.sparkContext.broadcast(f.read())
     made = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
     keep = [c for c in (docs.columns if keep is None else keep) if c != text_col and c not in made]
-    types = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep])
     made_types = "n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +166,7 @@ def encode_table(
                 [*batch.columns[: len(keep)], *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]], names=[*keep, *made]
             )
 
-    return docs.select(*keep, text_col).mapInArrow(run, ", ".join(x for x in (types, made_types) if x))
+    return docs.select(*keep, text_col).mapInArrow(run, schema_of(docs, keep, made_types))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents
+from ._shared import documents, schema_of
 
 #: Labelled documents that a fit uses at most, over all languages.
 SAMPLE = 2000
@@ -65,7 +65,7 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
     """(k, bits) of -1 and 1: the exhaustive code up to 7 classes, beyond it a random one of distinct rows."""
     if k <= 7:
         bits = max(1, 2 ** (k - 1) - 1)
-        return np.array([[1 if row == 0 or (b + 1) >> (row - 1) & 1 else -1 for b in range(bits)] for row in range(k)])
+        return np.array([[-1 if row and (b + 1) >> (row - 1) & 1 else 1 for b in range(bits)] for row in range(k)])
     rng, bits = np.random.default_rng(seed), int(np.ceil(10 * np.log2(k)))
     while True:
         code = rng.choice([-1, 1], (k, bits))
@@ -185,8 +185,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", ambig
                 names=[*columns, "__lang", "__score", "__ambiguous"],
             )
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{types}, __lang string, __score double, __ambiguous boolean")
+    return docs.mapInArrow(run, schema_of(docs, columns, "__lang string, __score double, __ambiguous boolean"))
 
 
 def held_out(id_col: Column) -> Column:

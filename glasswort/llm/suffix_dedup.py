@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, few, materialize, wide_hash
+from ._shared import documents, few, materialize, schema_of, wide_hash
 
 LENGTH, GRAM, CELL = 400, 200, 50
 #: Strings of one construction: as many classes as fit, one class at least.
@@ -251,8 +251,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty result.
     """
     keyed = _keyed(docs, id_col, text_col)
-    gone = repeats(keyed).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("__gone"))
-    joined = keyed.join(gone, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left")
+    gone = repeats(keyed).groupBy(F.col("k1").alias("__g1"), F.col("k2").alias("__g2")).agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("__gone"))
+    joined = keyed.join(gone, (F.col("__k1") == F.col("__g1")) & (F.col("__k2") == F.col("__g2")), "left")
     columns = docs.columns
     n = len(columns)
 
@@ -276,8 +276,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=[*columns, *_MADE])
 
-    types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    return joined.select(*columns, "__text", "__gone").mapInArrow(cut, f"{types}__n_bytes long, __n_removed long, __n_spans long, __kept {'string' if digest else 'binary'}")
+    made = f"__n_bytes long, __n_removed long, __n_spans long, __kept {'string' if digest else 'binary'}"
+    return joined.select(*columns, "__text", "__gone").mapInArrow(cut, schema_of(docs, columns, made))
 
 
 _MADE = ("__n_bytes", "__n_removed", "__n_spans", "__kept")
