@@ -53,6 +53,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     small tables are broadcast by Spark's own threshold.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -73,10 +74,23 @@ def wide_hash(*cols: Column) -> tuple[Column, Column]:
     return F.xxhash64(*cols), F.xxhash64(F.lit(0x5EED), *cols)
 
 
+#: Rows of a batch between Spark and Python.  Spark's own 10,000 make batches of tens of MB of text, held
+#: by both sides of every running task.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def schema_of(table: DataFrame, keep: list[str], made: str) -> T.StructType:
     """The kept columns' fields, then those of a DDL string."""
     return T.StructType([*(table.schema[c] for c in keep), *T.StructType.fromDDL(made).fields])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
