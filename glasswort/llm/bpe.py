@@ -16,6 +16,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,8 @@ from ._shared import documents, schema_of
 FILE = "byte_bpe_50k.tiktoken"
 #: Pieces that an encoder remembers, in two generations; only speed depends on it.
 REMEMBERED = 250_000
+#: Rows that are encoded at a time.
+SLICE = 128
 _NONE = 1 << 62
 
 
@@ -154,17 +157,21 @@ def encode_table(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(read_ranks(data.value), pattern)
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for text in batch.column(len(keep)):
-                ids = encoder.encode(text.as_py() or "")
-                raw = encoder.decode(ids)
-                out[0].append(ids.count(" ") + 1 if ids else 0)
-                out[1].append(hashlib.sha256(ids.encode()).hexdigest() if digests else [int(x) for x in ids.split()])
-                out[2].append(hashlib.sha256(raw).hexdigest() if digests else raw)
-            kinds = (pa.int64(), pa.string(), pa.string()) if digests else (pa.int64(), pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]], names=[*keep, *made]
-            )
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                counts, ids, raw = [], [], []
+                for text in part.column(len(keep)):
+                    found = encoder.encode(text.as_py() or "")
+                    data_back = encoder.decode(found)
+                    counts.append(found.count(" ") + 1 if found else 0)
+                    ids.append(hashlib.sha256(found.encode()).hexdigest() if digests else np.fromstring(found, np.int32, sep=" "))
+                    raw.append(hashlib.sha256(data_back).hexdigest() if digests else data_back)
+                if digests:
+                    out = [pa.array(ids, pa.string()), pa.array(raw, pa.string())]
+                else:
+                    ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                    out = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(counts, pa.int64()), *out], names=[*keep, *made])
 
     return docs.select(*keep, text_col).mapInArrow(run, schema_of(docs, keep, made_types))
 
