@@ -203,3 +203,33 @@ SELECT id, array_to_string(list_sort(list_distinct(list_transform(list_filter(li
   lambda t: (regexp_matches(t[1], {_q(R.AIGC_NAME)}) OR regexp_matches(t[2], {_q(R.AIGC_NAME)})) AND NOT list_contains([{', '.join(_q(x) for x in R.DENIALS)}], lower(trim(t[3])))), lambda t: t[1] || ':' || t[2]))), '|') AS tags FROM a""",
     "clip_text": "SELECT item_id, CASE WHEN length(text) > 40 THEN left(text, 40) || '...' ELSE text END AS text FROM benchmark",
 }
+
+# What the rules must find, worked out by hand.
+_FLAGS = (
+    (1, True, False, "XMP:CreatorTool names Midjourney"),
+    (2, True, False, "XMP declares digitalSourceType=trainedAlgorithmicMedia"),
+    (3, True, True, "XMP declares digitalSourceType=compositeSynthetic (generated element, not whole image)"),
+    (4, False, False, "no provenance evidence"),
+    (5, False, False, "no provenance evidence"),
+    (6, True, False, "XMP carries generative-AI namespace tags: TC260:AIGC"),
+    (7, False, False, "no provenance evidence"),
+    (8, True, False, "XMP carries generative-AI namespace tags: genai:model"),
+    (9, False, False, "no provenance evidence"),
+    (10, False, False, "no provenance evidence"),
+)
+_CHUNK_EVIDENCE = (
+    (1, "ai:PNG 'parameters' chunk holds A1111 generation settings:Stable Diffusion (A1111-style)|ai:PNG:parameters names FLUX / Black Forest Labs:FLUX / Black Forest Labs"),
+    (2, "ai:PNG 'Prompt' chunk holds a ComfyUI node graph:ComfyUI"),
+    (3, "ai:PNG:Software names Krea:Krea"),
+    (4, "weak:PNG:Comment mentions Krea (ambiguous wording):-"),
+    (5, "ai:PNG 'invokeai_metadata' chunk is a InvokeAI record:InvokeAI"),
+    (6, "ai:PNG 'dream' chunk is a InvokeAI record:InvokeAI"),
+    (7, ""),
+    (8, "weak:PNG:Title mentions Midjourney:Midjourney"),
+    (9, ""),
+    (10, ""),
+    (11, "ai:PNG 'aiframework' chunk is a unknown diffusion pipeline record:unknown diffusion pipeline|weak:PNG:aiframework mentions other diffusion model (ambiguous wording):-"),
+    (12, "ai:PNG 'workflow' chunk holds generation parameters (sampler, seed, steps):unknown diffusion pipeline"),
+)
+ORACLE["evidence_flags"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(a).lower()}, {str(b).lower()}, false, {_q(d)})" for i, a, b, d in _FLAGS) + ") t(id, says_ai, partial_ai, says_camera, description)"
+ORACLE["png_evidence"] = f"SELECT * FROM {_values(_CHUNK_EVIDENCE, 'id, evidence')}"

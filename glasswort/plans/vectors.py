@@ -89,3 +89,20 @@ SELECT doc_id, CAST(greatest(1, round_even(w * k, 0)) AS INTEGER) AS width, CAST
     "ijg_tables": f"SELECT q, {_ijg(S.IJG_LUMA)} AS luma, {_ijg(S.IJG_CHROMA)} AS chroma FROM (SELECT unnest(generate_series(1, 100)) AS q)",
     "format_sniff": "SELECT * FROM (VALUES (1, 'PNG'), (2, 'JPEG'), (3, 'WEBP'), (4, 'BMFF'), (5, 'TIFF'), (6, 'TIFF'), (7, ''), (8, '')) t(id, format)",
 }
+
+
+def _ijg_list(base: tuple[int, ...], q: str) -> str:
+    scale = f"(CASE WHEN {q} < 50 THEN 5000 // {q} ELSE 200 - 2 * {q} END)"
+    return f"list_transform([{', '.join(map(str, base))}], lambda b: least(255, greatest(1, (b * {scale} + 50) // 100)))"
+
+
+_LUMA = f"[{', '.join(map(str, S.IJG_LUMA))}]"
+_ERR = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda p: abs(p[1] - p[2])))"
+ORACLE["jpeg_quality"] = f"""WITH t AS (SELECT q, {_ijg_list(S.IJG_LUMA, 'q')} AS luma, {_ijg_list(S.IJG_CHROMA, 'q')} AS chroma FROM (SELECT unnest(generate_series(1, 100)) AS q)),
+s AS (SELECT *, list_sort(list_transform(list_filter(list_zip(luma, {_LUMA}), lambda p: p[1] > 1 AND p[1] < 255), lambda p: (100.0::DOUBLE * p[1] - 50) / p[2])) AS scales FROM t),
+g AS (SELECT *, scales[len(scales) // 2 + 1] AS m FROM s),
+c AS (SELECT *, least(100, greatest(1, CAST(round_even(CASE WHEN m > 100 THEN 5000 / m ELSE (200 - m) / 2 END, 0) AS INTEGER) + d)) AS guess FROM g, (VALUES (-1), (0), (1)) v(d) WHERE m IS NOT NULL),
+e AS (SELECT q, guess, {_ERR('luma', _ijg_list(S.IJG_LUMA, 'guess'))} + {_ERR('chroma', _ijg_list(S.IJG_CHROMA, 'guess'))} AS err FROM c),
+b AS (SELECT q, guess, err, row_number() OVER (PARTITION BY q ORDER BY err, guess) AS rn FROM e)
+SELECT CAST(t.q AS INTEGER) AS q, CASE WHEN list_max(t.luma) = 1 THEN CASE WHEN list_max(t.chroma) = 1 THEN 100 = t.q END WHEN err = 0 THEN guess = t.q END AS same,
+  CASE WHEN list_max(t.luma) = 1 THEN 100 ELSE guess END AS estimated FROM t LEFT JOIN b ON t.q = b.q AND rn = 1"""
