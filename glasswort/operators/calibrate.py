@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import clean, logit, platt, sigmoid
-from .evaluation import confusion, ranking, threshold_at_fpr, threshold_at_tpr
+from .evaluation import ABSTAIN_TPR, FPR_POINTS, confusion, ranking, threshold_at_fpr, threshold_at_tpr
 from .ordered import hash_bucket, ranks
 
 STEPS, SETTLED = 25, 1e-11
@@ -215,15 +215,15 @@ def cross_track(scored: DataFrame, members: Sequence[str], fit: str, test: str,
     return table.select(F.lit(fit).alias("fit"), F.lit(test).alias("test"), F.lit(threshold).alias("threshold"), "*")
 
 
-def train_fusion(scored: DataFrame, members: Sequence[str]) -> FusionModel:
-    """The ensemble for use: calibrators from all rows, operating points from the pooled out-of-fold scores."""
-    from .evaluation import ABSTAIN_TPR, FPR_POINTS
-
-    pooled = fuse_rows(oof_log_odds(scored, fold_calibrators(scored)), members)
-    points = {name: threshold_at_fpr(pooled, target).first()[0] for name, target in FPR_POINTS.items()}
-    points |= {"balanced": 0.5, "abstain_low": threshold_at_tpr(pooled, ABSTAIN_TPR).first()[0]}
-    fitted = {r["detector"]: (r["a"], r["b"]) for r in platt_fit(scored, ["detector"]).collect()}
-    return FusionModel(list(members), {m: fitted[m] for m in members}, {}, points)
+def train_fusion(scored: DataFrame, members: Sequence[str], dtype: str = "unknown") -> tuple[FusionModel, DataFrame]:
+    """The ensemble for use, fitted on all rows, and its scores of them, from which its operating points come."""
+    calibrators = platt_fit(scored.where(F.col("detector").isin(list(members))), ["detector"])
+    fitted = {r["detector"]: (r["a"], r["b"]) for r in calibrators.collect()}
+    z = scored.join(F.broadcast(calibrators), "detector").select(*scored.columns, logit(platt(F.col("score"), F.col("a"), F.col("b"))).alias("z"))
+    fused = fuse_rows(z, members)
+    points = {name: threshold_at_fpr(fused, target).first()[0] for name, target in FPR_POINTS.items()}
+    points |= {"balanced": 0.5, "abstain_low": threshold_at_tpr(fused, ABSTAIN_TPR).first()[0]}
+    return FusionModel(list(members), {m: fitted[m] for m in members}, {}, points, dtype), fused
 
 
 def probe_fit(table: DataFrame, features: str = "embedding", label: str = "y", strength: float = 1.0, backbone: str = "", trained_on: Sequence[str] | None = None) -> Probe:

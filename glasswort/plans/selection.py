@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import calibrate as C
 from ..operators import evaluation as E
+from ..operators import reports as R
 from ..operators import sampling as P
 from . import bench as B
 from .evaluation import rounded
@@ -50,12 +53,19 @@ def probe_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = C.train_fusion(folded_scores(spark, sf_dir), B.MEMBERS)
+    model, _ = C.train_fusion(B.scores(spark, sf_dir), B.MEMBERS)
     rows = [("threshold", k, round(v, 5)) for k, v in model.thresholds.items()]
     rows += [(c, m, round(model.calibrators[m][i], 5)) for m in model.members for i, c in enumerate("ab")]
     return spark.createDataFrame(rows, "kind string, name string, value double")
 
 
+def fusion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole training report as a line of JSON."""
+    scored = B.scores(spark, sf_dir).join(folded(spark, sf_dir).select("id", "fold"), "id")
+    _, report = R.fusion_report(scored, B.DETECTORS)
+    return spark.createDataFrame([(json.dumps(report, sort_keys=True),)], "report string")
+
+
 def source_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("size"))
 
@@ -132,6 +142,7 @@ QUERIES = {
     "greedy_select": greedy_select,
     "probe_fit": probe_fit,
     "train_fusion": train_fusion,
+    "fusion_report": fusion_report,
     "largest_remainder": lambda s, d: P.allocate(source_sizes(s, d), "source", "size", F.lit(97)),
     "stratified_subset": lambda s, d: P.stratified_subset(B.bench(s, d).select("id", "y", "source"), 120),
     "dedup_first": lambda s, d: P.dedup_by_content(B.table(s, d, "documents").select("doc_id", "text"), "text", ["doc_id"]).select("doc_id", "digest"),
@@ -161,5 +172,11 @@ ORACLE = {
 t AS ({_REMAINDER.format(keys='y, ', part='PARTITION BY y ', whole='PARTITION BY y')}),
 r AS (SELECT id, y, source, row_number() OVER (PARTITION BY y, source ORDER BY md5(id || '-seed'), id) AS rn FROM bench)
 SELECT id, r.y, r.source FROM r JOIN t ON r.y = t.y AND r.source = t.source WHERE rn <= take""",
+    "train_fusion": f"""WITH RECURSIVE {B.SQL_SCORES}, tr AS (SELECT * FROM scores WHERE detector IN ({_MEMBERS})), {sql_newton('tr', 'detector')},
+fu AS (SELECT id, y, {B.sql_sigmoid('avg(z)')} AS score FROM (SELECT s.id, s.y, {B.sql_logit(B.sql_platt('s.score', 'f.a', 'f.b').replace('::DOUBLE * ', ' * ').replace('f.b::DOUBLE', 'f.b'))} AS z FROM tr s JOIN fit f ON s.detector = f.detector) GROUP BY id, y),
+rk AS (SELECT y, score, row_number() OVER (PARTITION BY y ORDER BY score DESC) AS rn, count(*) OVER (PARTITION BY y) AS n FROM fu)
+SELECT 'threshold' AS kind, p.name, round(score, 5) AS value FROM rk, (VALUES ('fpr1', 0.01::DOUBLE), ('fpr5', 0.05::DOUBLE), ('fpr10', 0.1::DOUBLE)) p(name, target) WHERE y = 0 AND rn = CAST(floor(target * n) AS BIGINT)
+UNION ALL SELECT 'threshold', 'abstain_low', round(score, 5) FROM rk WHERE y = 1 AND rn = least(greatest(CAST(ceil(0.98::DOUBLE * n) AS BIGINT), 1), n)
+UNION ALL SELECT 'threshold', 'balanced', 0.5::DOUBLE UNION ALL SELECT 'a', detector, round(a, 5) FROM fit UNION ALL SELECT 'b', detector, round(b, 5) FROM fit""",
     "dedup_first": "SELECT min(doc_id) AS doc_id, left(sha256(text), 16) AS digest FROM documents GROUP BY text",
 }
