@@ -175,7 +175,8 @@ def components(edges: DataFrame) -> DataFrame:
 def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b) of one group and of different components that sizes and unshared shingles leave possible.
 
-    members is (key, node) without the groups' centres.
+    members is (key, node) without the groups' centres.  A pair is listed
+    once, in the first band whose key it shares.
     """
     mine = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = lambda t: t.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("least")).where("x <> y").select("key", "least")
@@ -199,10 +200,12 @@ def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent
     # the best partner has all that is shared and nothing else, but is no smaller than the group's smallest
     mine = materialize(mine.where(f"100 * shared >= {percent} * (n + greatest(shared, least) - shared)"), "able-members")
     mine = materialize(mine.drop("least").join(few(materialize(mixed(mine), "able-keys").select("key")), "key", "left_semi"), "able")
-    x, y = (mine.toDF("key", *[f"{c}_{s}" for c in ("node", "label", "n", "shared")]) for s in "ab")
+    mine = materialize(mine.join(nodes.select("node", "keys"), "node").select("key", "node", "label", "n", "shared", "keys"), "open-rows")
+    x, y = (mine.toDF("key", *[f"{c}_{s}" for c in ("node", "label", "n", "shared", "keys")]) for s in "ab")
     most = F.least("shared_a", "shared_b")
     near = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
-    return x.join(y, "key").where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    first = F.get("keys_a", (F.array_position(F.zip_with("keys_a", "keys_b", lambda a, b: a == b), True) - 1).cast("int")) == F.col("key")
+    return x.join(y, "key").where(near & first).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -225,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     weight = materialize(members.join(materialize(sizes, "sizes"), "key").groupBy("node").agg(F.sum("size").alias("weight")), "weights")
     reps = classes.join(few(weight.select("node")), "node", "left_semi").toDF("node", "rep")
-    nodes = table.join(few(materialize(reps, "candidates")), "node").where("doc_id <=> rep").select("node", "n", "sketch", "text")
+    nodes = table.join(few(materialize(reps, "candidates")), "node").where("doc_id <=> rep").select("node", "n", "keys", "sketch", "text")
     nodes = materialize(nodes, "nodes")
     if nodes.count() > weight.count():  # equal rows of one id
         nodes = materialize(nodes.dropDuplicates(["node"]), "nodes")
