@@ -17,8 +17,9 @@ is the centre, and each member is tested against it; links so confirmed
 make components.  What may be missing then are links between different
 components of one group.  Those pairs are listed only where sizes and
 unshared shingles leave a link possible: a shingle that no other open
-member has can be in no intersection, which settles edited copies of one
-text without comparing them to each other.
+member has can be in no intersection, which settles most edited copies of
+one text without comparing them to each other, and where FINE one-bit
+registers agree often enough.
 """
 
 from __future__ import annotations
@@ -39,11 +40,15 @@ BANDS, ROWS, MANTISSA = 24, 5, 10
 REGISTERS = BANDS * ROWS
 #: Estimates so many standard deviations below the threshold end a candidate.
 DEVIATIONS = 6
+#: One-bit registers of the members that are left in a group of several components.
+FINE = 2048
 _U = np.uint64
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(0, 1 << 64, REGISTERS, np.uint64) | _U(1)
 _FLIPS = _rng.integers(0, 1 << 64, REGISTERS, np.uint64)
 _BAND = _rng.integers(0, 1 << 64, (BANDS, ROWS + 1), np.uint64) | _U(1)
+_FINE_FACTORS = _rng.integers(0, 1 << 64, FINE, np.uint64) | _U(1)
+_FINE_FLIPS = _rng.integers(0, 1 << 64, FINE, np.uint64)
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -57,6 +62,20 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return (zeros.astype(np.uint16) << MANTISSA | bits.astype(np.uint16)).astype(np.uint16)
 
 
+def fine_bits(shingles: np.ndarray) -> np.ndarray:
+    """FINE one-bit registers, each of a least hash of its own, in int64 words: finer than `registers` at a quarter of its size."""
+    least = np.full(FINE, np.iinfo(_U).max, _U)
+    for start in range(0, len(shingles), 64):
+        np.minimum(least, ((shingles[start : start + 64, None] ^ _FINE_FLIPS) * _FINE_FACTORS).min(axis=0), out=least)
+    return np.packbits((least >> _U(30) & _U(1)).astype(bool)).view(np.int64)
+
+
+def fine_disagreements(percent: int) -> int:
+    """Bits in which two sets of at least percent may differ, but for chances of DEVIATIONS standard deviations."""
+    p = (1 - percent / 100) / 2
+    return int(FINE * p + DEVIATIONS * (FINE * p * (1 - p)) ** 0.5) + 1
+
+
 def band_keys(sketch: np.ndarray) -> np.ndarray:
     rows = sketch.reshape(BANDS, ROWS).astype(_U)
     h = (rows * _BAND[:, :ROWS]).sum(axis=1, dtype=_U) + _BAND[:, ROWS]
@@ -194,18 +213,30 @@ def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent
                     [pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), [len(s) for s in sets]))], names=["shingle", "node"]
                 )
 
-    held = nodes.join(few(who), "node", "left_semi").select("node", "text").mapInArrow(shingles, "shingle long, node long")
-    alone = held.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    held = materialize(nodes.join(few(who), "node", "left_semi").select("node", "text"), "open-texts")
+    alone = held.mapInArrow(shingles, "shingle long, node long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
     mine = mine.join(alone, "node", "left").select("key", "node", "label", "n", "least", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
     # the best partner has all that is shared and nothing else, but is no smaller than the group's smallest
     mine = materialize(mine.where(f"100 * shared >= {percent} * (n + greatest(shared, least) - shared)"), "able-members")
     mine = materialize(mine.drop("least").join(few(materialize(mixed(mine), "able-keys").select("key")), "key", "left_semi"), "able")
-    mine = materialize(mine.join(nodes.select("node", "keys"), "node").select("key", "node", "label", "n", "shared", "keys"), "open-rows")
-    x, y = (mine.toDF("key", *[f"{c}_{s}" for c in ("node", "label", "n", "shared", "keys")]) for s in "ab")
+
+    def bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                found = [fine_bits(s) for s in shingle_sets(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "bits"])
+
+    left = materialize(mine.select("node").distinct(), "able-nodes")
+    sketched = held.join(few(left), "node", "left_semi").mapInArrow(bits, "node long, bits array<long>")
+    sketched = materialize(sketched.join(nodes.select("node", "keys"), "node"), "open-sketches")
+    mine = materialize(mine.join(sketched, "node").select("key", "node", "label", "n", "shared", "keys", "bits"), "open-rows")
+    x, y = (mine.toDF("key", *[f"{c}_{s}" for c in ("node", "label", "n", "shared", "keys", "bits")]) for s in "ab")
     most = F.least("shared_a", "shared_b")
     near = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
     first = F.get("keys_a", (F.array_position(F.zip_with("keys_a", "keys_b", lambda a, b: a == b), True) - 1).cast("int")) == F.col("key")
-    return x.join(y, "key").where(near & first).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, v: t + v)
+    return x.join(y, "key").where(near & first & (apart <= fine_disagreements(percent))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
