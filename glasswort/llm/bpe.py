@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ._shared import documents, schema_of
 
 FILE = "byte_bpe_50k.tiktoken"
-#: Pieces that an encoder remembers, in two generations; only speed depends on it.
-REMEMBERED = 250_000
+#: Pieces (about 150 bytes each) that an encoder remembers in each of two generations; only speed depends on it.
+#: The second number is for a job that does nothing else.
+REMEMBERED, REMEMBERED_ALONE = 250_000, 600_000
 #: Rows that are encoded at a time.
 SLICE = 128
-_NONE = 1 << 62
+_NONE = 1 << 32
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -35,6 +36,11 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
 
 
+def pair_ranks(ranks: dict[bytes, int]) -> list[int]:
+    """Ranks of all pairs of bytes, by first byte times 256 plus second; _NONE where there is none."""
+    return [ranks.get(bytes((a, b)), _NONE) for a in range(256) for b in range(256)]
+
+
 class SegmentTree:
     """The least of n keys under point updates."""
 
@@ -66,40 +72,55 @@ class SegmentTree:
             tree[i] = key
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """The tokens that merging leaves: always the leftmost pair of the lowest rank, while there is one."""
+def merge(piece: bytes, ranks: dict[bytes, int], pairs: list[int] | None = None) -> list[bytes]:
+    """The tokens that merging leaves: always the leftmost pair of the lowest rank, while there is one.
+
+    pairs is pair_ranks(ranks), for speed.  The tree's walks are written out
+    here, as pieces are many and short; SegmentTree says the same in words.
+    """
     n = len(piece)
     if n < 2:
         return [piece]
-    get, shift = ranks.get, n.bit_length()
-    keys = []
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
-        keys.append(_NONE if rank is None else rank << shift | i)
-    tree, mask = SegmentTree(keys), (1 << shift) - 1
+    pairs = pairs or pair_ranks(ranks)
+    get = ranks.get
+    shift = n.bit_length()
+    none, mask, size = _NONE << shift, (1 << shift) - 1, 1 << (n - 2).bit_length()
+    level = [pairs[a << 8 | b] << shift | i for i, (a, b) in enumerate(zip(piece, piece[1:]))]
+    level += [none] * (size - n + 1)
+    tree = level
+    while len(level) > 1:
+        level = [a if a < b else b for a, b in zip(level[::2], level[1::2])]
+        tree = level + tree
+    tree = [none, *tree]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # ends and left neighbours of live parts
-    while (least := tree.least()) != _NONE:
+    while (least := tree[1]) < none:
         i = least & mask
         gone = after[i]
         end = after[i] = after[gone]
-        tree_key = _NONE
         if end < n:
             before[end] = i
             rank = get(piece[i : after[end]])
-            if rank is not None:
-                tree_key = rank << shift | i
-            tree.put(gone, _NONE)
-        elif gone < n - 1:
-            tree.put(gone, _NONE)
-        tree.put(i, tree_key)
+            changed = [(size + i, none if rank is None else rank << shift | i), (size + gone, none)]
+        else:
+            changed = [(size + i, none), (size + gone, none)] if gone < n - 1 else [(size + i, none)]
         left = before[i]
         if left >= 0:
             rank = get(piece[left:end])
-            tree.put(left, _NONE if rank is None else rank << shift | left)
+            changed.append((size + left, none if rank is None else rank << shift | left))
+        for at, key in changed:
+            while tree[at] != key:
+                tree[at] = key
+                if at < 2:
+                    break
+                other = tree[at ^ 1]
+                if other < key:
+                    key = other
+                at >>= 1
     parts, i = [], 0
     while i < n:
-        parts.append(piece[i : after[i]])
-        i = after[i]
+        end = after[i]
+        parts.append(piece[i:end])
+        i = end
     return parts
 
 
@@ -108,14 +129,14 @@ class _Pieces(dict):
 
     def __init__(self, ranks: dict[bytes, int], remembered: int):
         super().__init__()
-        self.ranks, self.remembered, self.old = ranks, remembered, {}
+        self.ranks, self.remembered, self.old, self.pairs = ranks, remembered, {}, pair_ranks(ranks)
 
     def __missing__(self, piece: str) -> str:
         found = self.old.get(piece)
         if found is None:
             data = piece.encode("utf-8", "surrogatepass")
             rank = self.ranks.get(data)
-            found = str(rank) if rank is not None else " ".join([str(self.ranks[part]) for part in merge(data, self.ranks)])
+            found = str(rank) if rank is not None else " ".join([str(self.ranks[part]) for part in merge(data, self.ranks, self.pairs)])
         if len(self) >= self.remembered:
             self.old = dict(self)
             self.clear()
@@ -139,8 +160,20 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, ids.split(" "))) if ids else b""
 
 
+_encoders: dict[tuple[int, str, int], Encoder] = {}
+
+
+def worker_encoder(data: bytes, pattern: str, remembered: int) -> Encoder:
+    """This process's encoder for a file of ranks: later tasks of a worker find the pieces that earlier ones met."""
+    key = (hash(data), pattern, remembered)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(read_ranks(data), pattern, remembered)
+    return _encoders[key]
+
+
 def encode_table(
-    docs: DataFrame, text_col: str, ranks_file: str, pattern: str, keep: list[str] | None = None, digests: bool = False
+    docs: DataFrame, text_col: str, ranks_file: str, pattern: str, keep: list[str] | None = None, digests: bool = False, remembered: int = REMEMBERED
 ) -> DataFrame:
     """keep (or all columns but the text) with n_tokens, and ids array<int> and decoded binary, or with digests their sha256.
 
@@ -155,7 +188,7 @@ def encode_table(
     made_types = "n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(read_ranks(data.value), pattern)
+        encoder = worker_encoder(data.value, pattern, remembered)
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
@@ -180,7 +213,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return encode_table(
-        documents(spark, sf_dir).select("doc_id", "text"), "text", public_tokenizers.path(FILE), public_tokenizers.PATTERN, digests=True
+        documents(spark, sf_dir).select("doc_id", "text"), "text", public_tokenizers.path(FILE), public_tokenizers.PATTERN, digests=True, remembered=REMEMBERED_ALONE
     )
 
 
