@@ -16,7 +16,9 @@ windows of equal anchors need meet.  Runs of starts that share an anchor
 are one row; rows whose whole surroundings are equal, or whose anchor is
 found once, are settled by their hashes.  The rest is cut into cells of
 CELL starts that share a core of LENGTH - CELL + 1 bytes; cells whose cores
-are equal and whose surroundings differ go through the construction.
+are equal and whose surroundings differ go through the construction.  A
+class of more than CLASS different surroundings is too much for one task;
+its strings, CELL of a row at most, are compared by 128-bit digests instead.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from ._shared import documents, few, materialize, schema_of, wide_hash
 LENGTH, GRAM, CELL = 400, 200, 50
 #: Strings of one construction: as many classes as fit, one class at least.
 STRINGS = 1 << 14
+CLASS = 1 << 12
 _CHUNK, _BITS = 1 << 19, 21
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -214,6 +217,28 @@ def _repeated_cells(cells: DataFrame) -> DataFrame:
     return dealt.mapInArrow(solve, "core long, around long, hits array<struct<a:bigint,b:bigint>>")
 
 
+def _repeated_by_digest(cells: DataFrame) -> DataFrame:
+    """What _repeated_cells() finds, for classes of any size: no class meets in one task."""
+
+    def strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                core, around, begin, span = (c.to_pylist() for c in batch.slice(start, 256).columns)
+                rows = [
+                    (core[i], around[i], begin[i] + s, hashlib.blake2b(span[i][s : s + LENGTH], digest_size=16).digest())
+                    for i in range(len(core))
+                    for s in range(len(span[i]) - LENGTH + 1)
+                ]
+                halves = np.frombuffer(b"".join(r[3] for r in rows), np.int64).reshape(-1, 2)
+                made = [pa.array([r[c] for r in rows], pa.int64()) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*made, pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["core", "around", "at", "h1", "h2"])
+
+    found = materialize(cells.select("core", "around", "begin", "span").mapInArrow(strings, "core long, around long, at long, h1 long, h2 long"), "strings")
+    again = materialize(found.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2"), "repeated-strings")
+    hit = F.collect_set(F.struct(F.col("at").alias("a"), F.col("at").alias("b")))
+    return found.join(few(again), ["h1", "h2"], "left_semi").groupBy("core", "around").agg(hit.alias("hits"))
+
+
 def repeats(keyed: DataFrame) -> DataFrame:
     """(k1, k2, first, last): ranges of starts of repeated strings."""
     table = materialize(run_table(keyed), "runs")
@@ -231,10 +256,13 @@ def repeats(keyed: DataFrame) -> DataFrame:
     equal = cells.join(few(materialize(sorts.where("c > 1").select("core", "around"), "equal")), ["core", "around"], "left_semi")
     span = F.octet_length("span") - LENGTH
     equal = equal.select("k1", "k2", F.col("p").alias("first"), (F.col("p") + span).alias("last"))
-    unlike = materialize(sorts.groupBy("core").agg(F.count("*").alias("d"), F.min("c").alias("c")).where("d > 1 AND c = 1").select("core"), "unlike")
-    asked = sorts.join(few(unlike), "core", "left_semi").select("core", "around", "one.*")
-    asked = cells.join(few(materialize(asked, "asked")), ["core", "around", "k1", "k2", "p"], "left_semi")
-    solved = materialize(_repeated_cells(asked).where("size(hits) > 0"), "solved")
+    unlike = materialize(sorts.groupBy("core").agg(F.count("*").alias("d"), F.min("c").alias("c")).where("d > 1 AND c = 1").select("core", (F.col("d") > CLASS).alias("large")), "unlike")
+    asked = sorts.join(few(unlike), "core").select("core", "around", "large", "one.*")
+    asked = cells.join(few(materialize(asked, "asked")), ["core", "around", "k1", "k2", "p"])
+    solved = _repeated_cells(asked.where("NOT large")).where("size(hits) > 0")
+    if not unlike.where("large").isEmpty():
+        solved = solved.union(_repeated_by_digest(asked.where("large")))
+    solved = materialize(solved, "solved")
     parts = cells.select("core", "around", "k1", "k2", "p", "begin").join(solved, ["core", "around"]).select("k1", "k2", "p", "begin", F.explode("hits").alias("h"))
     parts = parts.select("k1", "k2", (F.col("p") + F.col("h.a") - F.col("begin")).alias("first"), (F.col("p") + F.col("h.b") - F.col("begin")).alias("last"))
     return whole.union(equal).union(parts)
