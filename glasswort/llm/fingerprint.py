@@ -66,8 +66,8 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return keyed.select(*docs.columns, F.when(clash, F.concat(plain, F.lit("-"), F.sha2("__form", 256))).otherwise(plain).alias("__fingerprint"))
 
 
-def with_next(docs: DataFrame, id_col: str, value: Column, tie: Column) -> DataFrame:
-    """docs with __next: value of the row that follows in descending order of id; the first row's after the last.
+def with_next(docs: DataFrame, id_col: str, values: list[str], tie: Column) -> DataFrame:
+    """docs with __next_<column> for each of values: that of the row that follows in descending order of id; the first row's after the last.
 
     Null ids come last; rows of one id are ordered by tie.  The order is cut
     into stretches at ids that exist, so no task holds more than one; the
@@ -84,7 +84,7 @@ def with_next(docs: DataFrame, id_col: str, value: Column, tie: Column) -> DataF
         cuts = sorted({c for c in [*(found[1] or []), found[0]] if c is not None})
     bounds = F.lit(cuts).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
     here = F.when(F.col(id_col).isNull(), 0).otherwise(F.size(F.filter(bounds, lambda b: b < F.col(id_col)))).cast("int")
-    placed = docs.select("*", here.alias("__at"), value.alias("__value"), tie.alias("__tie"))
+    placed = docs.select("*", here.alias("__at"), tie.alias("__tie"))
     at_cut = F.col("__at") < len(cuts)
     is_cut = F.coalesce(at_cut & (F.get(bounds, F.col("__at")) == F.col(id_col)), F.lit(False))
     above = F.when(F.col("__at") == len(cuts) - 1, 0).otherwise(F.col("__at") + 1)
@@ -93,23 +93,25 @@ def with_next(docs: DataFrame, id_col: str, value: Column, tie: Column) -> DataF
     placed = placed.select("*", F.explode(places).alias("__place"))
     order = Window.partitionBy("__place.at").orderBy(F.col("__place.guest"), F.col(id_col).desc_nulls_last(), "__tie")
     around = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    following = F.coalesce(F.lead("__value").over(order), F.first("__value").over(around))
-    return placed.select("*", following.alias("__next")).where("__place.guest = 0").drop("__at", "__tie", "__value", "__place")
+    # a row without a follower ends a table without ids: its follower is the first row
+    last = F.lead(F.lit(True)).over(order).isNull()
+    following = [F.when(last, F.first(c).over(around)).otherwise(F.lead(c).over(order)).alias(f"__next_{c}") for c in values]
+    return placed.select("*", *following).where("__place.guest = 0").drop("__at", "__tie", "__place")
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     marked = fingerprints(docs)
-    both = with_next(marked, "doc_id", F.struct("text", "__fingerprint"), F.xxhash64("text"))
+    both = with_next(marked, "doc_id", ["text", "__fingerprint"], F.xxhash64("text"))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = both.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.col("__fingerprint").alias("fingerprint"),
-        (F.col("__fingerprint") == F.col("__next.__fingerprint")).cast("double").alias("near_next"),
+        (F.col("__fingerprint") == F.col("__next___fingerprint")).cast("double").alias("near_next"),
         canonical(F.col("text")).alias("form"),
-        F.concat(F.substring("text", F.lit(1), n - third), F.substring("__next.text", F.lit(1), third)).alias("edited"),
+        F.concat(F.substring("text", F.lit(1), n - third), F.substring("__next_text", F.lit(1), third)).alias("edited"),
     )
     h1, h2 = wide_hash(F.col("edited_form"))
     edited = edited.select("*", canonical(F.col("edited")).alias("edited_form"))

@@ -80,14 +80,14 @@ def test_next_in_order(spark, n):
     rng = random.Random(n)
     ids = rng.sample(range(-5000, 5000), n)
     docs = table(spark, [f"t{i}" for i in ids], ids)
-    got = {r.doc_id: r["__next"] for r in fingerprint.with_next(docs, "doc_id", F.col("text"), F.xxhash64("text")).collect()}
+    got = {r.doc_id: r["__next_text"] for r in fingerprint.with_next(docs, "doc_id", ["text"], F.xxhash64("text")).collect()}
     order = sorted(ids, reverse=True)
     assert got == {a: f"t{order[(i + 1) % n]}" for i, a in enumerate(order)}
 
 
 def test_next_with_ties_and_nulls(spark):
     docs = table(spark, ["a", "b", "c", "d", "e"], [5, 5, None, 1, None])
-    got = sorted((r.doc_id or 0, r.text, r["__next"]) for r in fingerprint.with_next(docs, "doc_id", F.col("text"), F.col("text")).collect())
+    got = sorted((r.doc_id or 0, r.text, r["__next_text"]) for r in fingerprint.with_next(docs, "doc_id", ["text"], F.col("text")).collect())
     assert got == [(0, "c", "e"), (0, "e", "a"), (1, "d", "c"), (5, "a", "b"), (5, "b", "d")]
 
 
@@ -151,7 +151,9 @@ def repeats_brute(texts, length):
     return out
 
 
-def test_suffix_dedup(spark):
+@pytest.mark.parametrize("largest", [suffix_dedup.CLASS, 1])
+def test_suffix_dedup(spark, monkeypatch, largest):
+    monkeypatch.setattr(suffix_dedup, "CLASS", largest)
     rng = random.Random(9)
     words = ["alpha", "beta", "gamma", "délta", "epsilon", "zeta", "eta"]
     long = lambda n: "".join(rng.choice(words) + rng.choice(" .,") for _ in range(n))
