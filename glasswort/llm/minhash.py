@@ -271,8 +271,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not rest.isEmpty():
         labels = components(found.union(rest))
     ids = classes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
-    linked = labels.join(classes, "node").groupBy("label").agg(F.min("rep").alias("least"))
-    ids = ids.join(linked, "label", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
+    linked = materialize(labels.join(classes, "node").groupBy("label").agg(F.min("rep").alias("least")), "linked")
+    ids = ids.join(few(linked), "label", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
     ids = materialize(ids, "component-ids")
     full = table.where("node IS NOT NULL").select("doc_id", "k1", "k2", "n", "node").join(ids, "node").select("doc_id", "k1", "k2", "n", "component_id")
     full = full.union(table.where("node IS NULL").select("doc_id", "k1", "k2", "n", "doc_id"))
