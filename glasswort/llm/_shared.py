@@ -91,6 +91,12 @@ def schema_of(table: DataFrame, keep: list[str], made: str) -> T.StructType:
     return T.StructType([*(table.schema[c] for c in keep), *T.StructType.fromDDL(made).fields])
 
 
+def dealt(table: DataFrame) -> DataFrame:
+    """table dealt out anew if it has fewer partitions than there are cores: a small file is often one row group."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table._jdf.queryExecution().toRdd().getNumPartitions() >= cores else table.repartition(cores)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -110,13 +110,14 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         n.cast("long").alias("n_chars"),
         F.col("__fingerprint").alias("fingerprint"),
         (F.col("__fingerprint") == F.col("__next___fingerprint")).cast("double").alias("near_next"),
-        canonical(F.col("text")).alias("form"),
+        "text",
         F.concat(F.substring("text", F.lit(1), n - third), F.substring("__next_text", F.lit(1), third)).alias("edited"),
     )
     h1, h2 = wide_hash(F.col("edited_form"))
     edited = edited.select("*", canonical(F.col("edited")).alias("edited_form"))
     plain = _digest(h1, h2)
-    clash = F.col("fingerprint").startswith(plain) & (F.col("form") != F.col("edited_form"))
+    # the bytes are compared where the digests agree, and the own ones are folded again only there
+    clash = F.when(F.col("fingerprint").startswith(plain), canonical(F.col("text")) != F.col("edited_form")).otherwise(False)
     known = F.length("fingerprint") > 32
     print_ = F.when(clash | (known & F.col("fingerprint").startswith(plain)), F.concat(plain, F.lit("-"), F.sha2("edited_form", 256))).otherwise(plain)
     return edited.select(
