@@ -16,7 +16,7 @@ from functools import reduce
 
 import numpy as np
 
-from .containers import png_chunks, read_ifd
+from .containers import png_chunks, read_ifd, sniff
 
 MOST_PIXELS = 512_000_000
 
@@ -228,6 +228,8 @@ def decode(data: bytes) -> Decoded:
             return _png(data)
         if data[:2] in (b"P5", b"P6"):
             return _netpbm(data)
+        if not sniff(data) and not data.startswith((b"GIF8", b"BM")):
+            raise ImageLoadError(f"cannot decode {len(data)} bytes as an image")
         image = _pillow().open(io.BytesIO(data))
         orientation = image.getexif().get(0x0112)
         rgb = np.asarray(image.convert("RGBA" if "A" in image.mode or "transparency" in image.info else "RGB"))

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a Python worker has one core: more threads of a numeric library only contend for it
+    "spark.executorEnv.OMP_NUM_THREADS": "1",
 }
 
 
