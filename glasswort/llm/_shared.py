@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 BLANKS = " \t\n\x0b\x0c\r"
 #: Rows of a written table of keys (a few tens of bytes each) that may be broadcast; beyond it Spark joins by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Files of a small written table for each core.
+FILES = 4
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -45,17 +47,21 @@ def drop_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, large: bool = False) -> DataFrame:
     """df written as Parquet to the shared folder and read again.
 
     Cuts the lineage with files that outlive any executor, runs df once for
     all later readers, and gives the optimizer the table's real size, so
-    small tables are broadcast by Spark's own threshold.
+    small tables are broadcast by Spark's own threshold.  Tables of keys,
+    labels and the like come in at most FILES files a core, so that many
+    shuffle partitions don't make as many tiny files; `large` ones (texts, or
+    rows for every line or run) keep their partitions.
     """
     spark = df.sparkSession
     small_batches(spark)
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    out = df if large else df.coalesce(FILES * spark.sparkContext.defaultParallelism)
+    out.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -54,7 +54,7 @@ def dedup_lines(
     keep their names; those that begin with two underscores are the
     operator's own.
     """
-    lines = materialize(line_table(docs, id_col, text_col, min_chars), "lines")
+    lines = materialize(line_table(docs, id_col, text_col, min_chars), "lines", large=True)
     frequent = materialize(frequent_lines(lines, min_docs), "frequent-lines")
     hits = lines.join(frequent, ["h1", "h2"], "left_semi")
     drops = hits.groupBy("__k1", "__k2").agg(F.sort_array(F.collect_set("pos")).alias("__pos"))

@@ -213,7 +213,7 @@ def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent
                     [pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), [len(s) for s in sets]))], names=["shingle", "node"]
                 )
 
-    held = materialize(nodes.join(few(who), "node", "left_semi").select("node", "text"), "open-texts")
+    held = materialize(nodes.join(few(who), "node", "left_semi").select("node", "text"), "open-texts", large=True)
     alone = held.mapInArrow(shingles, "shingle long, node long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
     mine = mine.join(alone, "node", "left").select("key", "node", "label", "n", "least", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
     # the best partner has all that is shared and nothing else, but is no smaller than the group's smallest
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exactly if no row of its component has one.  An empty table gives an
     empty result.
     """
-    table = materialize(sketch_table(docs, id_col, text_col), "sketches")
+    table = materialize(sketch_table(docs, id_col, text_col), "sketches", large=True)
     classes = materialize(table.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
     banded = table.where("node IS NOT NULL").select(F.explode("keys").alias("key"), "node")
     shared = banded.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
@@ -260,9 +260,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weight = materialize(members.join(materialize(sizes, "sizes"), "key").groupBy("node").agg(F.sum("size").alias("weight")), "weights")
     reps = classes.join(few(weight.select("node")), "node", "left_semi").toDF("node", "rep")
     nodes = table.join(few(materialize(reps, "candidates")), "node").where("doc_id <=> rep").select("node", "n", "keys", "sketch", "text")
-    nodes = materialize(nodes, "nodes")
+    nodes = materialize(nodes, "nodes", large=True)
     if nodes.count() > weight.count():  # equal rows of one id
-        nodes = materialize(nodes.dropDuplicates(["node"]), "nodes")
+        nodes = materialize(nodes.dropDuplicates(["node"]), "nodes", large=True)
     centre = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"))
     around = materialize(members.join(materialize(centre, "centres"), "key").where("node <> centre"), "around")
     found = links(around.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), nodes, percent)

@@ -71,7 +71,7 @@ def mix(sized: DataFrame, source: str = "source", size: str = "__size", key: str
     nothing, or epochs of no words.  An empty table gives an empty result.
     """
     bucket = F.least(F.floor((1 - F.exp(-F.col(key))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-    base = materialize(sized.select("*", bucket.alias("__bucket")), "mix-base")
+    base = materialize(sized.select("*", bucket.alias("__bucket")), "mix-base", large=True)
     targets = source_targets(base, source, size)
     sums = base.groupBy(source, "__bucket").agg(F.sum(size).alias("n"))
     upto = Window.partitionBy(source).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -233,7 +233,7 @@ def _repeated_by_digest(cells: DataFrame) -> DataFrame:
                 made = [pa.array([r[c] for r in rows], pa.int64()) for c in range(3)]
                 yield pa.RecordBatch.from_arrays([*made, pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["core", "around", "at", "h1", "h2"])
 
-    found = materialize(cells.select("core", "around", "begin", "span").mapInArrow(strings, "core long, around long, at long, h1 long, h2 long"), "strings")
+    found = materialize(cells.select("core", "around", "begin", "span").mapInArrow(strings, "core long, around long, at long, h1 long, h2 long"), "strings", large=True)
     again = materialize(found.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2"), "repeated-strings")
     hit = F.collect_set(F.struct(F.col("at").alias("a"), F.col("at").alias("b")))
     return found.join(few(again), ["h1", "h2"], "left_semi").groupBy("core", "around").agg(hit.alias("hits"))
@@ -241,17 +241,17 @@ def _repeated_by_digest(cells: DataFrame) -> DataFrame:
 
 def repeats(keyed: DataFrame) -> DataFrame:
     """(k1, k2, first, last): ranges of starts of repeated strings."""
-    table = materialize(run_table(keyed), "runs")
+    table = materialize(run_table(keyed), "runs", large=True)
     flat = table.select("k1", "k2", F.explode("runs").alias("r")).select("k1", "k2", "r.*")
     several = flat.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    shared = materialize(flat.join(few(materialize(several, "grams")), "gram", "left_semi"), "shared-runs")
+    shared = materialize(flat.join(few(materialize(several, "grams")), "gram", "left_semi"), "shared-runs", large=True)
     kinds = materialize(shared.groupBy("gram", "around").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", *_RUN[:3])).alias("one")), "kinds")
     twins = materialize(kinds.where("c > 1").select("gram", "around"), "twins")
     whole = shared.join(few(twins), ["gram", "around"], "left_semi").select("k1", "k2", F.col("p").alias("first"), (F.col("p") + F.col("more")).alias("last"))
     mixed = materialize(kinds.groupBy("gram").agg(F.count("*").alias("d"), F.min("c").alias("c")).where("d > 1 AND c = 1").select("gram"), "mixed")
     one = kinds.join(few(mixed), "gram", "left_semi").select("one.*", "gram", "around")
     chosen = one.groupBy("k1", "k2").agg(F.collect_set(F.struct(*_RUN)).alias("runs"))
-    cells = materialize(cell_table(keyed.select("__k1", "__k2", "__text"), materialize(chosen, "open-runs")).dropDuplicates(["core", "around", "k1", "k2", "p"]), "cells")
+    cells = materialize(cell_table(keyed.select("__k1", "__k2", "__text"), materialize(chosen, "open-runs")).dropDuplicates(["core", "around", "k1", "k2", "p"]), "cells", large=True)
     sorts = materialize(cells.groupBy("core", "around").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "p")).alias("one")), "sorts")
     equal = cells.join(few(materialize(sorts.where("c > 1").select("core", "around"), "equal")), ["core", "around"], "left_semi")
     span = F.octet_length("span") - LENGTH

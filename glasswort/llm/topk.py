@@ -99,12 +99,12 @@ def top_k(table: DataFrame, is_query: Column, id_col: str = "id", vec_col: str =
     to the smaller id.  An empty table gives an empty result.
     """
     usable = table.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), is_query.alias("query"))
-    usable = materialize(usable.where("id IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0 AND NOT exists(vec, x -> x IS NULL)"), "vectors")
+    usable = materialize(usable.where("id IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0 AND NOT exists(vec, x -> x IS NULL)"), "vectors", large=True)
     rows = _blocks(usable.select("id", "vec"), ROWS)
     asked = usable.where("query").select("id", "vec")
     spread = max(1, -(-asked.count() // QUERIES_A_BLOCK))
     asked = materialize(_blocks(asked.repartition(spread, "id"), QUERIES_A_BLOCK).toDF("q_dim", "q_n", "q_ids", "q_vectors"), "query-blocks")
-    pairs = materialize(rows, "row-blocks").crossJoin(asked).where("dim = q_dim")  # of blocks: each holds thousands of rows
+    pairs = materialize(rows, "row-blocks", large=True).crossJoin(asked).where("dim = q_dim")  # of blocks: each holds thousands of rows
     pairs = pairs.repartition(max(1, min(2000, pairs.count())), F.xxhash64("ids", "q_ids"))
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
