@@ -113,11 +113,11 @@ def generator_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_type_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = R.best_source_type(R.source_type_terms(F.col("text")))
-    return packets(spark).select("id", best["term"].alias("term"), best["kind"].alias("kind"), best["retired"].alias("retired"), best["partial"].alias("partial"))
+    return packets(spark).select("id", best["term"].alias("term"), best["kind"].alias("kind"), best["retired"].cast("string").alias("retired"), best["partial"].cast("string").alias("partial"))
 
 
 QUERIES = {
-    "name_scan": lambda s, d: texts(s).select("id", R.generator_name(F.col("text"))["name"].alias("name"), R.generator_name(F.col("text"))["specific"].alias("specific")),
+    "name_scan": lambda s, d: texts(s).select("id", R.generator_name(F.col("text"))["name"].alias("name"), R.generator_name(F.col("text"))["specific"].cast("string").alias("specific")),
     "name_scan_tables": lambda s, d: free_text(s, d).select("kind", R.generator_name(F.col("text"))["name"].isNotNull().alias("named")).groupBy("kind", "named").agg(F.count("*").alias("n")),
     "name_evidence": lambda s, d: _roles(s).select("id", "role", flat(R.name_evidence(F.lit("X"), F.col("text"), F.col("role"))).alias("evidence")),
     "freetext_ladder": lambda s, d: texts(s).select("id", R.ladder_rung(F.col("text")).alias("rung")),
@@ -173,7 +173,7 @@ _TERMS = f"""list_concat(regexp_extract_all(text, {_q(R.SOURCE_TYPE_URI)}, 1),
   list_filter(list_transform({_xmp('DigitalSourceType')}, lambda y: trim(list_extract(string_split(y, '/'), -1))), lambda y: y <> ''))"""
 _ALL_TYPES = [(t, k) for k, ts in R.SOURCE_TYPES.items() for t in ts]
 ORACLE = {
-    "name_scan": f"SELECT id, {_NAME} AS name, {_SPECIFIC} AS specific FROM {_T}",
+    "name_scan": f"SELECT id, {_NAME} AS name, CAST({_SPECIFIC} AS VARCHAR) AS specific FROM {_T}",
     "name_scan_tables": f"""WITH f AS (SELECT 'benchmark' AS kind, text FROM benchmark UNION ALL SELECT 'conversations', text FROM conversations UNION ALL SELECT 'documents', text FROM documents)
 SELECT kind, {_NAME} IS NOT NULL AS named, count(*) AS n FROM f GROUP BY 1, 2""",
     "name_evidence": f"""WITH n AS (SELECT id, role, {_NAME} AS name, {_SPECIFIC} AS specific FROM {_T}, (VALUES ('tool'), ('params'), ('freetext')) r(role))
@@ -191,7 +191,7 @@ SELECT id, role, CASE WHEN name IS NULL THEN '' WHEN role = 'tool' OR (role = 'p
     "source_type_info": f"""WITH v AS (SELECT * FROM (VALUES {', '.join(f"({_q(t)}, {_q(k)}, {str(t in R.RETIRED_TYPES).lower()}, {str(t in R.PARTIAL_TYPES).lower()})" for t, k in _ALL_TYPES)}) t(term, kind, retired, partial)),
 e AS (SELECT id, unnest({_TERMS}) AS w, generate_subscripts({_TERMS}, 1) AS i FROM {_P}),
 m AS (SELECT e.id, v.*, row_number() OVER (PARTITION BY e.id ORDER BY v.kind <> 'ai', i) AS rn FROM e JOIN v ON lower(e.w) = lower(v.term))
-SELECT p.id, m.term, m.kind, m.retired, m.partial FROM {_P.replace(') t(', ') p(')} LEFT JOIN m ON p.id = m.id AND rn = 1""",
+SELECT p.id, m.term, m.kind, CAST(m.retired AS VARCHAR) AS retired, CAST(m.partial AS VARCHAR) AS partial FROM {_P.replace(') t(', ') p(')} LEFT JOIN m ON p.id = m.id AND rn = 1""",
     "png_key_class": f"""SELECT id, CASE WHEN lower(key) = 'xml:com.adobe.xmp' THEN 'xmp' WHEN lower(key) IN ({', '.join(_q(k) for k in R.VENDOR_KEYS)}) THEN 'vendor'
   WHEN lower(key) = 'dream' AND len(regexp_extract_all(value, {_q(R.DREAM_FLAG)})) >= 2 THEN 'vendor' WHEN lower(key) IN ({', '.join(_q(k) for k in R.PARAM_KEYS)}) THEN 'params'
   WHEN lower(key) IN ('software', 'source') THEN 'tool' WHEN lower(key) IN ({', '.join(_q(k) for k in R.FREETEXT_KEYS)}) THEN 'freetext' ELSE 'other' END AS class FROM {_C}""",

@@ -36,7 +36,7 @@ def qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = spark.range(1, 101).select(F.col("id").cast("int").alias("q"))
     tables = q.select("q", S.ijg_table(S.IJG_LUMA, F.col("q")).alias("luma"), S.ijg_table(S.IJG_CHROMA, F.col("q")).alias("chroma"))
     found = S.jpeg_quality(F.col("luma"), F.col("chroma"))
-    return tables.select("q", found.alias("found")).select("q", (F.col("found.exact") == F.col("q")).alias("same"), F.col("found.estimated").alias("estimated"))
+    return tables.select("q", found.alias("found")).select("q", F.coalesce(F.col("found.exact") == F.col("q"), F.lit(False)).alias("same"), F.coalesce("found.estimated", F.lit(-1)).alias("estimated"))
 
 
 def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,5 +104,5 @@ g AS (SELECT *, scales[len(scales) // 2 + 1] AS m FROM s),
 c AS (SELECT *, least(100, greatest(1, CAST(round_even(CASE WHEN m > 100 THEN 5000 / m ELSE (200 - m) / 2 END, 0) AS INTEGER) + d)) AS guess FROM g, (VALUES (-1), (0), (1)) v(d) WHERE m IS NOT NULL),
 e AS (SELECT q, guess, {_ERR('luma', _ijg_list(S.IJG_LUMA, 'guess'))} + {_ERR('chroma', _ijg_list(S.IJG_CHROMA, 'guess'))} AS err FROM c),
 b AS (SELECT q, guess, err, row_number() OVER (PARTITION BY q ORDER BY err, guess) AS rn FROM e)
-SELECT CAST(t.q AS INTEGER) AS q, CASE WHEN list_max(t.luma) = 1 THEN CASE WHEN list_max(t.chroma) = 1 THEN 100 = t.q END WHEN err = 0 THEN guess = t.q END AS same,
-  CASE WHEN list_max(t.luma) = 1 THEN 100 ELSE guess END AS estimated FROM t LEFT JOIN b ON t.q = b.q AND rn = 1"""
+SELECT CAST(t.q AS INTEGER) AS q, coalesce(CASE WHEN list_max(t.luma) = 1 THEN CASE WHEN list_max(t.chroma) = 1 THEN 100 = t.q END WHEN err = 0 THEN guess = t.q END, false) AS same,
+  coalesce(CASE WHEN list_max(t.luma) = 1 THEN 100 ELSE guess END, -1) AS estimated FROM t LEFT JOIN b ON t.q = b.q AND rn = 1"""
