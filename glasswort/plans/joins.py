@@ -63,7 +63,7 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _values(rows, names: str) -> str:
-    quote = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+    quote = lambda v: "NULL" if v is None else f"{v}::BIGINT" if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
     return f"(VALUES {', '.join('(' + ', '.join(quote(v) for v in r) + ')' for r in rows)}) t({names})"
 
 

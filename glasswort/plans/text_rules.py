@@ -143,7 +143,7 @@ def _q(s: str) -> str:
 
 
 def _values(rows, names: str) -> str:
-    return f"(VALUES {', '.join('(' + ', '.join(str(v) if isinstance(v, int) else _q(v) for v in r) + ')' for r in rows)}) t({names})"
+    return f"(VALUES {', '.join('(' + ', '.join(f'{v}::BIGINT' if isinstance(v, int) else _q(v) for v in r) + ')' for r in rows)}) t({names})"
 
 
 _T, _P, _C = _values(TEXTS, "id, text"), _values(PACKETS, "id, text"), _values(CHUNKS, "id, key, value")
@@ -195,7 +195,7 @@ SELECT p.id, m.term, m.kind, CAST(m.retired AS VARCHAR) AS retired, CAST(m.parti
     "png_key_class": f"""SELECT id, CASE WHEN lower(key) = 'xml:com.adobe.xmp' THEN 'xmp' WHEN lower(key) IN ({', '.join(_q(k) for k in R.VENDOR_KEYS)}) THEN 'vendor'
   WHEN lower(key) = 'dream' AND len(regexp_extract_all(value, {_q(R.DREAM_FLAG)})) >= 2 THEN 'vendor' WHEN lower(key) IN ({', '.join(_q(k) for k in R.PARAM_KEYS)}) THEN 'params'
   WHEN lower(key) IN ('software', 'source') THEN 'tool' WHEN lower(key) IN ({', '.join(_q(k) for k in R.FREETEXT_KEYS)}) THEN 'freetext' ELSE 'other' END AS class FROM {_C}""",
-    "generator_precedence": "SELECT * FROM (VALUES (1, 'Midjourney'), (2, 'Krea'), (3, 'other diffusion model'), (4, NULL)) t(id, generator)",
+    "generator_precedence": "SELECT * FROM (VALUES (1::BIGINT, 'Midjourney'), (2::BIGINT, 'Krea'), (3::BIGINT, 'other diffusion model'), (4::BIGINT, NULL)) t(id, generator)",
     "aigc_tags": f"""WITH a AS (SELECT id, list_zip(regexp_extract_all(text, '<\\s*([\\w.-]+):([\\w.-]+)[^>]*>([^<]{{0,64}})', 1), regexp_extract_all(text, '<\\s*([\\w.-]+):([\\w.-]+)[^>]*>([^<]{{0,64}})', 2),
   regexp_extract_all(text, '<\\s*([\\w.-]+):([\\w.-]+)[^>]*>([^<]{{0,64}})', 3)) AS tags, list_zip(regexp_extract_all(text, '[\\s"]([\\w.-]+):([\\w.-]+)\\s*=\\s*"([^"]*)"', 1),
   regexp_extract_all(text, '[\\s"]([\\w.-]+):([\\w.-]+)\\s*=\\s*"([^"]*)"', 2), regexp_extract_all(text, '[\\s"]([\\w.-]+):([\\w.-]+)\\s*=\\s*"([^"]*)"', 3)) AS attrs FROM {_P})
@@ -231,5 +231,5 @@ _CHUNK_EVIDENCE = (
     (11, "ai:PNG 'aiframework' chunk is a unknown diffusion pipeline record:unknown diffusion pipeline|weak:PNG:aiframework mentions other diffusion model (ambiguous wording):-"),
     (12, "ai:PNG 'workflow' chunk holds generation parameters (sampler, seed, steps):unknown diffusion pipeline"),
 )
-ORACLE["evidence_flags"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(a).lower()}, {str(b).lower()}, false, {_q(d)})" for i, a, b, d in _FLAGS) + ") t(id, says_ai, partial_ai, says_camera, description)"
+ORACLE["evidence_flags"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {str(a).lower()}, {str(b).lower()}, false, {_q(d)})" for i, a, b, d in _FLAGS) + ") t(id, says_ai, partial_ai, says_camera, description)"
 ORACLE["png_evidence"] = f"SELECT * FROM {_values(_CHUNK_EVIDENCE, 'id, evidence')}"

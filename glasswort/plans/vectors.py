@@ -87,7 +87,7 @@ SELECT m.image, round(CAST(CAST(m / greatest(sqrt(n2), 1e-12::DOUBLE) AS FLOAT)
     "matched_size": f"""WITH s AS (SELECT doc_id, {_W} AS w, {_H} AS h FROM documents), c AS (SELECT *, least(1::DOUBLE, 512 / greatest(w, h)) AS k FROM s)
 SELECT doc_id, CAST(greatest(1, round_even(w * k, 0)) AS INTEGER) AS width, CAST(greatest(1, round_even(h * k, 0)) AS INTEGER) AS height FROM c""",
     "ijg_tables": f"SELECT q, {_ijg(S.IJG_LUMA)} AS luma, {_ijg(S.IJG_CHROMA)} AS chroma FROM (SELECT unnest(generate_series(1, 100)) AS q)",
-    "format_sniff": "SELECT * FROM (VALUES (1, 'PNG'), (2, 'JPEG'), (3, 'WEBP'), (4, 'BMFF'), (5, 'TIFF'), (6, 'TIFF'), (7, ''), (8, '')) t(id, format)",
+    "format_sniff": "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{f}')" for i, f in enumerate(('PNG', 'JPEG', 'WEBP', 'BMFF', 'TIFF', 'TIFF', '', ''), 1)) + ") t(id, format)",
 }
 
 
