@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from glasswort.llm import bpe, language_id, line_dedup, minhash, mixing
 from glasswort.llm._shared import documents, materialize
 
+#: Least Jaccard index of near-duplicates; op9_minhash, a query of its own, has 85.
+NEAR_PERCENT = 80
+
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; texts without a letter go, and such as no language has half the score of.
@@ -39,8 +42,8 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the smallest id."""
-    return minhash.one_of_each(docs)
+    """One document of each group of near-duplicates, of five-word shingles and a Jaccard index of 0.8 or more: the one of the smallest id."""
+    return minhash.one_of_each(docs, percent=NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

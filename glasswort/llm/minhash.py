@@ -1,9 +1,10 @@
 """Near-duplicate detection by HyperMinHash.
 
-Each document's set of word shingles gets a sketch of REGISTERS buckets; a
-bucket keeps, of the least hash that it saw, the count of leading zeros and
+Each document's set of word shingles gets a sketch of buckets; a bucket
+keeps, of the least hash that it saw, the count of leading zeros and
 MANTISSA bits behind them.  Bands of ROWS registers are hashed to keys;
-documents that share a key are candidates.  Candidates pass if the Jaccard
+documents that share a key are candidates.  There are as many bands as keep
+the chance to miss a pair of the threshold below MISSED.  Candidates pass if the Jaccard
 index that their registers estimate, corrected for registers that agree by
 chance, may reach the threshold, and are then confirmed on full sets.
 
@@ -25,7 +26,9 @@ registers agree often enough.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,26 +39,38 @@ from ._shared import documents, few, materialize, wide_hash
 from ._shingles import shingle_sets
 
 PERCENT = 85
-BANDS, ROWS, MANTISSA = 24, 5, 10
-REGISTERS = BANDS * ROWS
+ROWS, MANTISSA = 5, 10
+#: Chance that a pair of just the threshold shares no band.
+MISSED = 1e-6
 #: Estimates so many standard deviations below the threshold end a candidate.
 DEVIATIONS = 6
 #: One-bit registers of the members that are left in a group of several components.
 FINE = 2048
 _U = np.uint64
-_rng = np.random.default_rng(20)
-_FACTORS = _rng.integers(0, 1 << 64, REGISTERS, np.uint64) | _U(1)
-_FLIPS = _rng.integers(0, 1 << 64, REGISTERS, np.uint64)
-_BAND = _rng.integers(0, 1 << 64, (BANDS, ROWS + 1), np.uint64) | _U(1)
+_rng = np.random.default_rng(21)
 _FINE_FACTORS = _rng.integers(0, 1 << 64, FINE, np.uint64) | _U(1)
 _FINE_FLIPS = _rng.integers(0, 1 << 64, FINE, np.uint64)
 
 
-def registers(shingles: np.ndarray) -> np.ndarray:
+def bands(percent: int) -> int:
+    """The least number of bands that misses a pair of percent with a chance of MISSED at most: 24 at 85, 35 at 80."""
+    return math.ceil(math.log(MISSED) / math.log(max(MISSED, 1 - (percent / 100) ** ROWS)))
+
+
+@cache
+def _hashes(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors and flips of n bands' registers, and factors of the bands."""
+    rng = np.random.default_rng(20)
+    factors, flips = rng.integers(0, 1 << 64, n * ROWS, np.uint64) | _U(1), rng.integers(0, 1 << 64, n * ROWS, np.uint64)
+    return factors, flips, rng.integers(0, 1 << 64, (n, ROWS + 1), np.uint64) | _U(1)
+
+
+def registers(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """uint16 a bucket: leading zeros of its least hash above the next MANTISSA bits."""
-    least = np.full(REGISTERS, np.iinfo(_U).max, _U)
+    factors, flips, _ = _hashes(bands(percent))
+    least = np.full(len(factors), np.iinfo(_U).max, _U)
     for start in range(0, len(shingles), 256):
-        np.minimum(least, ((shingles[start : start + 256, None] ^ _FLIPS) * _FACTORS).min(axis=0), out=least)
+        np.minimum(least, ((shingles[start : start + 256, None] ^ flips) * factors).min(axis=0), out=least)
     least >>= _U(11)  # 53 bits: exact as a double
     zeros = 53 - np.frexp(least.astype(float))[1]
     bits = (least << zeros.astype(_U)) >> _U(52 - MANTISSA) & _U((1 << MANTISSA) - 1)
@@ -77,10 +92,11 @@ def fine_disagreements(percent: int) -> int:
 
 
 def band_keys(sketch: np.ndarray) -> np.ndarray:
-    rows = sketch.reshape(BANDS, ROWS).astype(_U)
-    h = (rows * _BAND[:, :ROWS]).sum(axis=1, dtype=_U) + _BAND[:, ROWS]
+    rows = sketch.reshape(-1, ROWS).astype(_U)
+    _, _, band = _hashes(len(rows))
+    h = (rows * band[:, :ROWS]).sum(axis=1, dtype=_U) + band[:, ROWS]
     h = (h ^ (h >> _U(31))) * _U(0xD6E8FEB86659FD93)
-    return (h ^ (h >> _U(32)) ^ _BAND[:, ROWS]).view(np.int64)
+    return (h ^ (h >> _U(32)) ^ band[:, ROWS]).view(np.int64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
@@ -95,7 +111,7 @@ def content_key(id_col: str, text_col: str) -> tuple[Column, Column]:
     return wide_hash(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
 
 
-def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketch_table(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
     """(doc_id, k1, k2, text, node, n, keys, sketch): node is a 64-bit digest of the set; null, without keys, for the empty set.
 
     k1 and k2 are content_key() of the row.
@@ -107,7 +123,7 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 part = batch.slice(start, 256)
                 nodes, sizes, keys, sketches = [], [], [], []
                 for s in shingle_sets(part.column(3).to_pylist()):
-                    sketch = registers(s) if len(s) else None
+                    sketch = registers(s, percent) if len(s) else None
                     nodes.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
                     sizes.append(len(s))
                     keys.append(band_keys(sketch) if len(s) else None)
@@ -126,7 +142,7 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of which the corrected estimate may reach percent."""
     j = percent / 100
-    least = j - DEVIATIONS * (j * (1 - j) / REGISTERS) ** 0.5
+    least = j - DEVIATIONS * (j * (1 - j) / (bands(percent) * ROWS)) ** 0.5
     ends = nodes.select("node", "n", "sketch")
     joined = pairs.join(ends.toDF("a", "n_a", "s_a"), "a").join(ends.toDF("b", "n_b", "s_b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
 
@@ -251,7 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exactly if no row of its component has one.  An empty table gives an
     empty result.
     """
-    table = materialize(sketch_table(docs, id_col, text_col), "sketches", large=True)
+    table = materialize(sketch_table(docs, id_col, text_col, percent), "sketches", large=True)
     classes = materialize(table.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
     banded = table.where("node IS NOT NULL").select(F.explode("keys").alias("key"), "node")
     shared = banded.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")

@@ -250,6 +250,28 @@ def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_near_dedup_stage_links_from_eighty_percent(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(8)
+    rows, between = [], 0
+    for pair in range(60):
+        words = [f"p{pair}w{i}" for i in range(200)]
+        w = list(words)
+        for place in range(4 + pair % 2):  # 176 of 216 shingles shared, or 171 of 221
+            w[20 + 40 * place - 10 * (pair % 2) + rng.randrange(5)] = f"x{pair}.{place}"
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(w))]
+    kept = []
+    for (i, a), (j, b) in zip(rows[::2], rows[1::2], strict=True):
+        share = len(sets_brute(a) & sets_brute(b)) / len(sets_brute(a) | sets_brute(b))
+        between += 0.8 <= share < 0.85
+        kept += [i] if share >= 0.8 else [i, j]
+    assert between == 30 and len(kept) == 90
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, "").collect()) == kept
+    assert minhash.bands(85) == 24 and (1 - 0.8**5) ** minhash.bands(80) < 1e-6
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 90), (90, 95)], "a long, b long")
     got = dict(tuple(r) for r in minhash.components(edges).collect())
