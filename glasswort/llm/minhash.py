@@ -256,7 +256,9 @@ def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(doc_id, k1, k2, n_shingles, component_id, kept) for every row; k1 and k2 are content_key() of the row.
+    """(doc_id, k1, k2, n_shingles, component_id, kept, label) for every row; k1 and k2 are content_key() of the row.
+
+    label tells components apart where ids don't; it is null for the empty set.
 
     Words are runs of anything but blanks, A-Z lower-cased; a document's set
     holds its distinct runs of five words, of fewer words the whole
@@ -288,21 +290,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = components(found.union(rest))
     ids = classes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     linked = materialize(labels.join(classes, "node").groupBy("label").agg(F.min("rep").alias("least")), "linked")
-    ids = ids.join(few(linked), "label", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
+    ids = ids.join(few(linked), "label", "left").select("node", F.coalesce("least", "rep").alias("component_id"), "label")
     ids = materialize(ids, "component-ids")
-    full = table.where("node IS NOT NULL").select("doc_id", "k1", "k2", "n", "node").join(ids, "node").select("doc_id", "k1", "k2", "n", "component_id")
-    full = full.union(table.where("node IS NULL").select("doc_id", "k1", "k2", "n", "doc_id"))
-    return full.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    full = table.where("node IS NOT NULL").select("doc_id", "k1", "k2", "n", "node").join(ids, "node").select("doc_id", "k1", "k2", "n", "component_id", "label")
+    full = full.union(table.where("node IS NULL").select("doc_id", "k1", "k2", "n", "doc_id", "node"))
+    return full.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "label")
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir)).drop("k1", "k2")
+    return near_duplicates(documents(spark, sf_dir)).drop("k1", "k2", "label")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that near_duplicates() keeps; of rows of equal id and text, one."""
+    """One row of docs for each component of near_duplicates(), and the rows without words; of rows of equal id and text, one.
+
+    The row is one of the component's least id, or without an id if none has
+    one; of several such the one of the least content_key().
+    """
     k1, k2 = content_key(id_col, text_col)
-    kept = near_duplicates(docs, id_col, text_col, percent).where("kept").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    near = materialize(near_duplicates(docs, id_col, text_col, percent).where("kept").select("k1", "k2", "label"), "near")
+    first = near.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2")
+    kept = first.union(near.where("label IS NULL").select("k1", "k2")).toDF("__k1", "__k2").distinct()
     keyed = docs.select("*", k1.alias("__k1"), k2.alias("__k2"))
     return keyed.join(materialize(kept, "kept"), ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
 

@@ -272,6 +272,15 @@ def test_near_dedup_stage_links_from_eighty_percent(spark):
     assert minhash.bands(85) == 24 and (1 - 0.8**5) ** minhash.bands(80) < 1e-6
 
 
+def test_one_of_each_where_ids_do_not_tell_rows_apart(spark):
+    words = [[f"g{g}w{i}" for i in range(60)] for g in range(3)]
+    copies = [[" ".join(w[:-1] + [f"end{c}"]) for c in range(4)] for w in words]
+    rows = [(None, t) for t in copies[0]] + [(7, t) for t in copies[1]] + [(7, copies[2][0]), (8, copies[2][1]), (7, ""), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, (r.text or "").split("w")[0]) for r in minhash.one_of_each(docs).collect()]
+    assert sorted(got, key=str) == [(7, ""), (7, "g1"), (7, "g2"), (None, ""), (None, "g0")]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 90), (90, 95)], "a long, b long")
     got = dict(tuple(r) for r in minhash.components(edges).collect())
