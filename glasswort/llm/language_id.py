@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import documents, schema_of
@@ -113,19 +113,23 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 150, l2
 def train(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample: int = SAMPLE) -> Model | None:
     """A model of the non-null languages of labelled; None where there is no text with a letter.
 
-    Of each language about sample / languages documents are taken, those of
-    the least hash of id and text, so reruns take the same.
+    Of each language sample / languages documents are taken, one at least,
+    or all where it has fewer: those of the least hash of the id, so reruns
+    take the same.  A model holds `sample` languages at most, the most
+    frequent ones; documents of others can't be told.
     """
     usable = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    langs = {r[0]: r[1] for r in usable.groupBy(F.col(lang_col).cast("string")).count().orderBy(F.col("count").desc()).limit(sample).collect()}
+    lang = F.col(lang_col).cast("string")
+    langs = {r[0]: r[1] for r in usable.groupBy(lang).count().orderBy(F.col("count").desc(), lang).limit(sample).collect()}
     if not langs:
         return None
     quota = max(1, sample // len(langs))
-    keep = F.lit(False)
-    for lang, n in langs.items():
-        keep = keep | ((F.col(lang_col).cast("string") == lang) & (draw <= F.lit(min(1.0, 1.05 * quota / n + 3 / n))))
-    chosen = usable.where(keep).select(draw.alias("__draw"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    # draws below the limit hold the quota's least but for a chance of six standard deviations
+    limits = labelled.sparkSession.createDataFrame([(k, min(1.0, (quota + 6 * quota**0.5 + 20) / n)) for k, n in langs.items()], "lang string, __limit double")
+    drawn = usable.select(draw.alias("__draw"), lang.alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(limits), "lang").where("__draw <= __limit")
+    order = Window.partitionBy("lang").orderBy("__draw", F.xxhash64("text"))
+    chosen = drawn.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= quota).select("__draw", "lang", "text")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,19 +140,17 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample
                 names=["draw", "lang", "at", "n"],
             )
 
-    rows = chosen.mapInArrow(count, "draw double, lang string, at array<int>, n array<float>").orderBy("draw", "lang").limit(2 * sample).collect()
+    rows = chosen.mapInArrow(count, "draw double, lang string, at array<int>, n array<float>").orderBy("draw", "lang").collect()
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return None
-    taken: dict[str, int] = dict.fromkeys(languages, 0)
+    place = {lang: k for k, lang in enumerate(languages)}
     x, y = [], []
     for r in rows:
-        if taken[r["lang"]] < quota:
-            taken[r["lang"]] += 1
-            dense = np.zeros(BUCKETS, np.float32)
-            dense[r["at"]] = r["n"]
-            x.append(features(dense))
-            y.append(languages.index(r["lang"]))
+        dense = np.zeros(BUCKETS, np.float32)
+        dense[r["at"]] = r["n"]
+        x.append(features(dense))
+        y.append(place[r["lang"]])
     return fit(np.array(x, np.float32), np.array(y), languages)
 
 

@@ -138,6 +138,15 @@ def test_language_accuracy(spark):
     assert len(held) > 100 and sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.95
 
 
+def test_every_language_is_fitted(spark):
+    rng = random.Random(3)
+    rows = [(i, f"{'abcd'[i % 4]}{rng.random()} word", f"big{i % 4}") for i in range(400)] + [(1000 + i, f"rare {chr(97 + i % 26)} text", f"rare{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, "text", "lang", "doc_id", sample=70)
+    assert model.languages == sorted({lang for _, _, lang in rows})
+    assert len(language_id.train(docs, "text", "lang", "doc_id", sample=8).languages) == 8  # the bound
+
+
 def test_language_edges(spark):
     docs = spark.createDataFrame([(1, "the cat and the dog " * 9, "en"), (2, "le chat et le chien " * 9, "fr"), (3, None, "fr"), (4, "12 !", "en"), (5, "the cat " * 9, None), (5, "", None)], "doc_id long, text string, lang string")
     model = language_id.train(docs, "text", "lang", "doc_id")
