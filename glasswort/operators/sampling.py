@@ -66,16 +66,18 @@ def admit(items: DataFrame, per_source: int, least_side: int = 224) -> DataFrame
     kept item has, that decode (width not null), that are no animation and
     whose shorter side is least_side or more; the first per_source are kept,
     of the first three times as many candidates.  Only a kept item's digest
-    blocks later ones, so sources are taken one after the other.
+    blocks later ones, so sources are taken one after the other: on the
+    driver, from the keys of 3 * per_source items a source.
     """
-    kept = None
-    positions = [r[0] for r in items.select("source_pos").distinct().orderBy("source_pos").collect()]
-    for at in positions:
-        mine = items.where((F.col("source_pos") == at) & (F.col("item_pos") < 3 * per_source))
-        if kept is not None:
-            mine = mine.join(kept.select("digest"), "digest", "left_anti")
-        fit = mine.where((F.col("width").isNotNull()) & (F.col("n_frames") <= 1) & (F.least("width", "height") >= least_side))
-        once = first_of_each(fit, ["digest"], ["item_pos"])
-        taken = once.orderBy("item_pos").limit(per_source).select(*items.columns)
-        kept = taken if kept is None else kept.unionByName(taken)
-    return items.limit(0) if kept is None else kept
+    fit = items.where((F.col("item_pos") < 3 * per_source) & F.col("width").isNotNull() & (F.col("n_frames") <= 1) & (F.least("width", "height") >= least_side))
+    keys = fit.where("source_pos IS NOT NULL").groupBy("source_pos", "digest").agg(F.min("item_pos").alias("item_pos")).select("source_pos", "item_pos", "digest")
+    taken, count, seen = [], {}, set()
+    for r in keys.orderBy("source_pos", "item_pos", "digest").collect():
+        if r["digest"] not in seen and count.get(r["source_pos"], 0) < per_source:
+            count[r["source_pos"]] = count.get(r["source_pos"], 0) + 1
+            taken.append(tuple(r))
+            if r["digest"] is not None:
+                seen.add(r["digest"])
+    kept = items.sparkSession.createDataFrame(taken, keys.schema).toDF("__source", "__item", "__digest")
+    same = (F.col("source_pos") == F.col("__source")) & (F.col("item_pos") == F.col("__item")) & F.col("digest").eqNullSafe(F.col("__digest"))
+    return first_of_each(fit.join(F.broadcast(kept), same, "left_semi"), ["source_pos", "digest"], ["item_pos"])  # per_source rows a source

@@ -154,7 +154,7 @@ QUERIES = {
             (F.col("n_chars") % 900).cast("int").alias("width"),
             (F.col("n_chars") % 700).cast("int").alias("height"),
             F.lit(1).alias("n_frames"),
-        ).where("source_pos < 4").withColumn("item_pos", F.floor(F.col("item_pos") / 20)),
+        ).withColumn("item_pos", F.floor(F.col("item_pos") / 20)),
         10,
     ).select("source_pos", "item_pos", "digest"),
 }

@@ -213,3 +213,21 @@ def test_admission(spark):
     t = spark.createDataFrame(items, "source_pos int, item_pos int, digest string, width int, height int, n_frames int")
     got = sorted((r.source_pos, r.digest) for r in P.admit(t, 3).collect())
     assert got == [(0, "d0"), (0, "d1"), (0, "d2"), (1, "d5"), (1, "ok")]  # d5 lay beyond the quota of source 0
+
+
+def test_admission_query_takes_all_sources(spark):
+    from glasswort.plans import registry
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", F.left(F.sha2("text", 256), F.lit(16)).alias("digest"), "n_chars").collect()
+    seen, want = set(), []
+    for pos in range(20):
+        mine = sorted((r for r in docs if r.source == f"src{pos}"), key=lambda r: r.doc_id)
+        taken = 0
+        for item, r in enumerate(mine[:30]):
+            if taken < 10 and r.digest not in seen and min(r.n_chars % 900, r.n_chars % 700) >= 224:
+                seen.add(r.digest)
+                want.append((pos, item, r.digest))
+                taken += 1
+    got = sorted(tuple(r) for r in registry.QUERIES["benchmark_admission"](spark, sf).collect())
+    assert got == want and len({pos for pos, _, _ in got}) == 20
