@@ -53,6 +53,10 @@ def per_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.wide(spark, sf_dir).select("id", F.concat(F.lit("{"), F.array_join(made, ","), F.lit("}")).alias("per_model"))
 
 
+def score_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.wide(spark, sf_dir).select("id", S.bar(F.round(F.col("d0"), 3)).alias("bar"), S.fmt(F.round(F.col("d0"), 3), 3).alias("shown"))
+
+
 QUERIES = {
     "verdict_counts": verdict_counts,
     "verdict_rows": verdict_rows,
@@ -66,7 +70,8 @@ QUERIES = {
         S.operating_point(F.create_map(*[F.lit(x) for kv in B.THRESHOLDS.items() for x in kv]), F.col("asked")).alias("threshold"),
         S.operating_point(F.create_map(F.lit("fpr9"), F.lit(0.9)), F.col("asked")).alias("bare"),
     ),
-    "score_bar": lambda s, d: B.wide(s, d).select("id", S.bar(F.round(F.col("d0"), 3)).alias("bar"), S.fmt(F.round(F.col("d0"), 3), 3).alias("shown")).where("id % 7 = 0"),
+    "score_bar": lambda s, d: score_bars(s, d).where("id % 7 = 0"),
+    "score_bar_rows": score_bars,
 }
 ORACLE = {
     "verdict_counts": f"WITH {B.SQL_WIDE}, f AS (SELECT {B.sql_fused()} AS p FROM wide) SELECT {_PLAIN} AS verdict, count(*) AS n FROM f GROUP BY 1",
@@ -86,3 +91,5 @@ ORACLE = {
     "score_bar": f"""WITH {B.SQL_WIDE} SELECT id, repeat('#', CAST(round_even(round(d0, 3) * 20, 0) AS INTEGER)) || repeat('.', 20 - CAST(round_even(round(d0, 3) * 20, 0) AS INTEGER)) AS bar,
   printf('%.3f', round(d0, 3)) AS shown FROM wide WHERE id % 7 = 0""",
 }
+# every row, where score_bar and its SQL take one of seven
+ORACLE["score_bar_rows"] = ORACLE["score_bar"].removesuffix(" WHERE id % 7 = 0")

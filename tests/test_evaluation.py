@@ -231,3 +231,14 @@ def test_admission_query_takes_all_sources(spark):
                 taken += 1
     got = sorted(tuple(r) for r in registry.QUERIES["benchmark_admission"](spark, sf).collect())
     assert got == want and len({pos for pos, _, _ in got}) == 20
+
+
+def test_score_bars_of_every_row(spark, sf):
+    duckdb = pytest.importorskip("duckdb")
+    from glasswort.plans import registry
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    got = sorted(tuple(r) for r in registry.QUERIES["score_bar_rows"](spark, sf).collect())
+    assert len(got) == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert got == sorted(con.execute(registry.ORACLE["score_bar_rows"]).fetchall())
