@@ -26,13 +26,18 @@ def provenance_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("kind", "format", "says_ai", "generator").agg(F.count("*").alias("n"))
 
 
-def provenance_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inline texts as the Title of a PNG: hints, but for records of settings."""
-    found = provenance(texts(spark).where("id < 22").select("id", png_text(F.lit("Title"), F.col("text")).alias("content")))
+def provenance_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inline texts as the Title of a PNG: hints, but for records of settings, JSON, graphs and job ids."""
+    found = provenance(texts(spark).select("id", png_text(F.lit("Title"), F.col("text")).alias("content")))
     return found.select("id", "says_ai", "partial_ai", "generator", "description")
 
 
-QUERIES = {"provenance_texts": provenance_texts, "provenance_rows": provenance_rows}
+def provenance_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The titles that SQL can judge."""
+    return provenance_titles(spark, sf_dir).where("id < 22")
+
+
+QUERIES = {"provenance_texts": provenance_texts, "provenance_rows": provenance_rows, "provenance_titles": provenance_titles}
 _KIND = f"CASE WHEN {_NAME} IS NULL THEN NULL WHEN {_SPECIFIC} THEN 'weak only: PNG:Title mentions ' || {_NAME} ELSE 'weak only: PNG:Title mentions ' || {_NAME} || ' (ambiguous wording)' END"
 ORACLE = {
     "provenance_texts": f"""WITH f AS (SELECT 'turn' AS kind, text FROM conversations UNION ALL SELECT 'inline', text FROM {_T})
