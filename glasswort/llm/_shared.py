@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +25,18 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where the session names none, a local folder serves if driver and
+    executors are one process (master local); on a cluster that is an error,
+    as other machines could not read what one of them wrote.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="glasswort-")
+        atexit.register(shutil.rmtree, named.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
@@ -34,20 +47,42 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+#: Folders of the steps that are open in scratch().
+_open: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new folder name below the shared one; it goes when the session's JVM ends."""
+    """A new folder name below the shared one; it goes when the session's JVM ends, or with the scratch() around it."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     fs, p = hadoop_path(spark, path)
     fs.deleteOnExit(p)
+    if _open:
+        _open[-1].append(path)
     return path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes what materialize() writes inside, but for the paths appended to the list it yields."""
+    kept: list[str] = []
+    _open.append([])
+    try:
+        yield kept
+    finally:
+        made = _open.pop()
+        for path in made:
+            if path not in kept:
+                drop_path(spark, path)
+        if _open:
+            _open[-1].extend(p for p in made if p in kept)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     fs, p = hadoop_path(spark, path)
     fs.delete(p, True)
 
 
-def materialize(df: DataFrame, label: str, large: bool = False) -> DataFrame:
+def materialize(df: DataFrame, label: str, large: bool = False, kept: list[str] | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again.
 
     Cuts the lineage with files that outlive any executor, runs df once for
@@ -55,11 +90,14 @@ def materialize(df: DataFrame, label: str, large: bool = False) -> DataFrame:
     small tables are broadcast by Spark's own threshold.  Tables of keys,
     labels and the like come in at most FILES files a core, so that many
     shuffle partitions don't make as many tiny files; `large` ones (texts, or
-    rows for every line or run) keep their partitions.
+    rows for every line or run) keep their partitions.  `kept` is what a
+    scratch() yields: the table outlives it.
     """
     spark = df.sparkSession
     small_batches(spark)
     path = fresh_path(spark, label)
+    if kept is not None:
+        kept.append(path)
     out = df if large else df.coalesce(FILES * spark.sparkContext.defaultParallelism)
     out.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
