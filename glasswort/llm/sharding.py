@@ -6,20 +6,30 @@ shards.  Compaction groups runs of similar size (a tier spans a factor of
 FANOUT) and merges a tier that has FANOUT runs or more into files of up to
 the target size, moving partitions together without a shuffle.
 
-A version is committed by creating its manifest under a name that must not
-exist yet: readers see the old version or the new one, whatever fails, and
-of two writers one retries on the other's version.  Files that no manifest
-names are dead; vacuum() removes them.
+A version is committed by giving its finished manifest a name that must not
+exist yet, by an operation that the store does at once and refuses if the
+name is taken: a hard link on a local or mounted file system, a rename on
+HDFS.  Readers see the old version or the new one, whatever fails, and of
+two writers one retries on the other's version.  Stores without such an
+operation (object stores, whose rename copies) are refused unless the
+caller brings one as `claim`.
+
+expire() removes old versions and what only they name, and may run beside
+writers; vacuum() removes files that no version names once they are older
+than any writer's run.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import random
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import documents, few, fresh_path, hadoop_path
@@ -28,6 +38,10 @@ TARGET = 128 << 20
 FANOUT = 4
 #: Arrivals of the query, and rows of a shard as it arrives.
 ARRIVALS, ARRIVAL_ROWS = 4, 5000
+#: How often a writer tries to commit, and the seconds that it waits at most before each further try.
+TRIES, WAIT = 50, 2.0
+#: Seconds after which a file that no version names can't belong to a writer at work.
+ORPHAN_AGE = 7 * 24 * 3600
 
 
 class Conflict(RuntimeError):
@@ -41,11 +55,42 @@ class Shard:
     level: int
 
 
+def _link(spark: SparkSession, aside: str, final: str) -> bool:
+    """A hard link, which the system makes at once or not at all."""
+    jvm = spark._jvm
+    paths = [jvm.java.io.File(hadoop_path(spark, p)[1].toUri().getPath()).toPath() for p in (final, aside)]
+    try:
+        jvm.java.nio.file.Files.createLink(*paths)
+    except Exception as e:  # noqa: BLE001 - py4j wraps the JVM's exception
+        if "FileAlreadyExistsException" in str(getattr(e, "java_exception", e)):
+            return False
+        raise
+    return True
+
+
+def _rename(spark: SparkSession, aside: str, final: str) -> bool:
+    """HDFS's rename, one transaction of the name node that refuses an existing target."""
+    fs, p = hadoop_path(spark, aside)
+    return fs.rename(p, hadoop_path(spark, final)[1])
+
+
+#: By scheme: what gives a file a free name, or returns False if it is taken.
+CLAIMS: dict[str, Callable[[SparkSession, str, str], bool]] = {"file": _link, "hdfs": _rename}
+
+
 class ShardStore:
-    def __init__(self, spark: SparkSession, root: str, schema=None, target: int = TARGET, fanout: int = FANOUT):
+    """Shards and versions below root.  claim(spark, file, name) gives a file a free name; by default CLAIMS has it for root's scheme."""
+
+    def __init__(self, spark: SparkSession, root: str, schema=None, target: int = TARGET, fanout: int = FANOUT, claim: Callable | None = None):
         if target < 1 or fanout < 2:
             raise ValueError("target must be positive and fanout at least 2")
-        self.spark, self.root, self.schema, self.target, self.fanout = spark, root.rstrip("/"), schema, target, fanout
+        fs, p = hadoop_path(spark, root.rstrip("/"))
+        fs.mkdirs(p)
+        self.root = fs.resolvePath(p).toString()
+        scheme = self.root.partition(":")[0]
+        if claim is None and scheme not in CLAIMS:
+            raise ValueError(f"no operation known by which {scheme} gives a file a free name at once; pass claim")
+        self.spark, self.schema, self.target, self.fanout, self.claim = spark, schema, target, fanout, claim or CLAIMS[scheme]
 
     # manifests
 
@@ -75,7 +120,7 @@ class ShardStore:
         return json.loads(text)
 
     def commit(self, old: dict, shards: list[Shard], arrivals: list[str]) -> dict:
-        """The version after `old`.  Written aside and renamed to a name that must be free."""
+        """The version after `old`.  Written aside and then given a name that must be free."""
         new = {"version": old["version"] + 1, "shards": [vars(s) for s in shards], "arrivals": arrivals}
         fs, aside = hadoop_path(self.spark, f"{self.root}/manifests/.{uuid.uuid4().hex}")
         stream = fs.create(aside, False)
@@ -83,38 +128,39 @@ class ShardStore:
             stream.write(bytearray(json.dumps(new).encode()))
         finally:
             stream.close()
-        final = hadoop_path(self.spark, self._manifest(new["version"]))[1]
-        if fs.exists(final) or not fs.rename(aside, final):
-            fs.delete(aside, False)
+        won = self.claim(self.spark, aside.toString(), self._manifest(new["version"]))
+        fs.delete(aside, False)  # the link's other name, or what lost
+        if not won:
             raise Conflict(f"version {new['version']} exists")
         return new
 
     # shards
 
+    def _listed(self, folder: str, level: int) -> list[Shard]:
+        fs, p = hadoop_path(self.spark, f"{self.root}/{folder}")
+        files = sorted((s.getPath().getName(), s.getLen()) for s in fs.listStatus(p)) if fs.exists(p) else []
+        return [Shard(f"{folder}/{name}", size, level) for name, size in files if name.endswith(".parquet")]
+
     def _write(self, df: DataFrame, rows: int | None, level: int) -> list[Shard]:
         """df as shards of a folder of their own; nothing refers to them until a commit does."""
         folder = f"data/{uuid.uuid4().hex}"
         writer = df.write.option("maxRecordsPerFile", rows) if rows else df.write
         writer.parquet(f"{self.root}/{folder}")
-        fs, p = hadoop_path(self.spark, f"{self.root}/{folder}")
-        files = sorted((s.getPath().getName(), s.getLen()) for s in fs.listStatus(p))
-        return [Shard(f"{folder}/{name}", size, level) for name, size in files if name.endswith(".parquet")]
+        return self._listed(folder, level)
 
-    def _retry(self, change) -> dict:
-        while True:
+    def _retry(self, change: Callable[[dict], dict]) -> dict:
+        for left in range(TRIES, 0, -1):
             old = self.load()
             try:
                 return change(old)
             except Conflict:
-                continue
+                if left == 1:
+                    raise
+                time.sleep(random.uniform(0, min(WAIT, 0.01 * 2 ** (TRIES - left))))
+        raise AssertionError
 
-    def append(self, df: DataFrame, arrival: str, rows: int = ARRIVAL_ROWS) -> dict:
-        """The version with df's shards.  An arrival that a version already has is not added again."""
-        if self.schema is None:
-            self.schema = df.schema
-        if arrival in self.load()["arrivals"]:
-            return self.load()
-        made = self._write(df, rows, 0)
+    def add(self, made: list[Shard], arrival: str) -> dict:
+        """The version with the shards of an arrival; one that a version already has is not added again."""
 
         def change(old: dict) -> dict:
             if arrival in old["arrivals"]:
@@ -123,6 +169,20 @@ class ShardStore:
 
         return self._retry(change)
 
+    def append(self, df: DataFrame, arrival: str, rows: int = ARRIVAL_ROWS) -> dict:
+        """The version with df's shards."""
+        if self.schema is None:
+            self.schema = df.schema
+        now = self.load()
+        return now if arrival in now["arrivals"] else self.add(self._write(df, rows, 0), arrival)
+
+    def stage(self, df: DataFrame, batch: Column, batches: int, rows: int = ARRIVAL_ROWS) -> list[list[Shard]]:
+        """Shards of each of several arrivals, written in one pass over df; batch says which, from 0.  add() makes them visible."""
+        folder = f"data/{uuid.uuid4().hex}"
+        name = "__batch_" + uuid.uuid4().hex[:8]
+        df.withColumn(name, batch).write.partitionBy(name).option("maxRecordsPerFile", rows).parquet(f"{self.root}/{folder}")
+        return [self._listed(f"{folder}/{name}={b}", 0) for b in range(batches)]
+
     def tier(self, size: int) -> int:
         return int(math.log(max(size, 1), self.fanout))
 
@@ -164,27 +224,37 @@ class ShardStore:
             if self._retry(change)["version"] > old["version"] and len(merged) >= len(runs):
                 return self.load()  # compression left nothing to gain
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Removes manifests but the last `keep`, and shards that none of those names; returns how many files went.
+    def expire(self, keep: int = 1) -> int:
+        """Removes all versions but the last `keep`, and the shards that only those named; returns how many files went.
 
-        Not while a writer is at work: its shards are named only once it commits.
+        Files that no version names are left alone, so writers may be at
+        work.  Reads of a version that goes fail, and so does a merge of
+        shards that another writer has merged meanwhile.
         """
         known = self.versions()
+        old = [self.load(v) for v in known[:-keep]]
         alive = {s["file"] for v in known[-keep:] for s in self.load(v)["shards"]}
+        dead = {s["file"] for m in old for s in m["shards"]} - alive
         removed = 0
-        for v in known[:-keep]:
-            fs, p = hadoop_path(self.spark, self._manifest(v))
+        for name in sorted(dead) + [f"manifests/{m['version']:010d}.json" for m in old]:
+            fs, p = hadoop_path(self.spark, f"{self.root}/{name}")
             removed += fs.delete(p, False)
+        return removed
+
+    def vacuum(self, age: float = ORPHAN_AGE) -> int:
+        """Removes shards that no version names and that are `age` seconds old; returns how many files went.
+
+        age must exceed the time from a writer's first file to its commit.
+        """
+        alive = {s["file"] for v in self.versions() for s in self.load(v)["shards"]}
         fs, p = hadoop_path(self.spark, f"{self.root}/data")
-        for folder in fs.listStatus(p) if fs.exists(p) else []:
-            name = folder.getPath().getName()
-            files = [s.getPath() for s in fs.listStatus(folder.getPath())]
-            dead = [f for f in files if f"data/{name}/{f.getName()}" not in alive]
-            if len([f for f in dead if f.getName().endswith(".parquet")]) == len([f for f in files if f.getName().endswith(".parquet")]):
-                removed += len(dead)
-                fs.delete(folder.getPath(), True)
-            else:
-                removed += sum(fs.delete(f, False) for f in dead if f.getName().endswith(".parquet"))
+        before, removed = (time.time() - age) * 1000, 0
+        files = fs.listFiles(p, True) if fs.exists(p) else None
+        while files is not None and files.hasNext():
+            status = files.next()
+            name = status.getPath().toString().removeprefix(self.root).lstrip("/")
+            if name.endswith(".parquet") and name not in alive and status.getModificationTime() <= before:
+                removed += fs.delete(status.getPath(), False)
         return removed
 
     def snapshot(self, version: int | None = None) -> DataFrame:
@@ -192,25 +262,30 @@ class ShardStore:
         shards = [Shard(**s) for s in self.load(version)["shards"]]
         if not shards:
             return self.read([]).select("*", F.lit(None).cast("string").alias("__shard"))
-        return self.read(shards).select("*", F.regexp_extract(F.col("_metadata.file_path"), r"(data/[^/]+/[^/]+)$", 1).alias("__shard"))
+        return self.read(shards).select("*", F.regexp_extract(F.col("_metadata.file_path"), r"(data/[0-9a-f]{32}/(?:__batch_[^/]+/)?[^/]+)$", 1).alias("__shard"))
 
 
 def shard_documents(docs: DataFrame, root: str, id_col: str = "doc_id", arrivals: int = ARRIVALS, target: int = TARGET, fanout: int = FANOUT) -> ShardStore:
-    """A store of docs: appended in `arrivals` batches by a hash of the id, compacted after each.
+    """A store of docs: in `arrivals` batches by a hash of the id, appended one by one and compacted after each.
 
-    Rows are kept as they are, nulls, repeats and extra columns included; an
-    empty table makes a version without rows.
+    docs is read once.  Rows are kept as they are, nulls, repeats, empty and
+    very long texts and extra columns included; rows without an id come in
+    one batch.  An empty table makes a version without shards.
     """
     store = ShardStore(docs.sparkSession, root, docs.schema, target, fanout)
-    for batch in range(arrivals):
-        store.append(docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(arrivals)) == batch), f"batch-{batch}")
+    staged = store.stage(docs, F.pmod(F.xxhash64(F.col(id_col)), F.lit(arrivals)).cast("int"), arrivals)
+    for batch, made in enumerate(staged):
+        store.add(made, f"batch-{batch}")
         store.compact()
-        store.vacuum()
+        store.expire()
     return store
 
 
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text_sha256, n_chars, shard, shard_bytes, shard_level, version) of every row as the store gives it back."""
+    """(doc_id, text_sha256, n_chars, shard, shard_bytes, shard_level, version) of every row as the store gives it back.
+
+    A null text has a null text_sha256 and n_chars.
+    """
     store = shard_documents(documents(spark, sf_dir), fresh_path(spark, "shards"))
     now = store.load()
     names = {s["file"]: i for i, s in enumerate(now["shards"])}
