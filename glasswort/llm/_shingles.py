@@ -1,4 +1,10 @@
-"""Word shingles of many texts at once: 64-bit hashes by NumPy, without a Python loop over words."""
+"""Word shingles of many texts: 64-bit hashes by NumPy without a Python loop over words, and the words themselves.
+
+A word's hash is the sum of random numbers, one for each byte and place
+(tabulation hashing), mixed again: no pattern of letters makes two words
+agree, as it does under sums of powers modulo 2^64.  Hashes choose
+candidates; shingles_exact() is what confirms them.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +14,12 @@ import numpy as np
 
 WORDS = 5
 _PIECE = 1 << 20
-_P = 0x9E3779B97F4A7C15
 _U = np.uint64
 _blank = np.zeros(256, bool)
 _blank[[0x20, *range(0x09, 0x0E)]] = True
-_powers: list[np.ndarray] = []
+#: A table entry for each byte at each of the first _PLACES places of a word.
+_PLACES = 64
+_table = np.random.default_rng(22).integers(0, 1 << 64, (_PLACES, 256), np.uint64).ravel()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -23,15 +30,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, _PIECE + (1 << 16))
-        up, down = np.full(n, _P, _U), np.full(n, pow(_P, -1, 1 << 64), _U)
-        up[0] = down[0] = 1
-        _powers[:] = [np.cumprod(up), np.cumprod(down)]
-    return _powers[0], _powers[1]
-
-
 def _pieces(docs: Iterable[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
     """(document, bytes): texts, long ones cut at blanks."""
     for i, data in docs:
@@ -56,9 +54,15 @@ def word_hashes(docs: list[bytes]) -> list[np.ndarray]:
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         if not len(start):
             return
-        up, down = _power(len(data))
-        total = np.concatenate((np.zeros(1, _U), np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)])))
-        h = mix((total[end] - total[start]) * down[start] + (end - start).astype(_U) * _U(0x165667B19E3779F9))
+        place = np.flatnonzero(word)
+        byte = data[place].astype(np.int64)
+        lengths = end - start
+        first = np.cumsum(lengths) - lengths
+        place = np.arange(len(byte)) - np.repeat(first, lengths)
+        drawn = _table[np.minimum(place, _PLACES - 1) << 8 | byte]
+        far = np.flatnonzero(place >= _PLACES)
+        drawn[far] = mix(mix((place[far] << 8 | byte[far]).astype(_U)) + _U(0x9E3779B97F4A7C15))
+        h = mix(np.add.reduceat(drawn, first) + lengths.astype(_U) * _U(0x165667B19E3779F9))
         upto = np.searchsorted(start, np.cumsum([len(x) + 1 for _, x in held]))
         for (i, _), a, b in zip(held, np.concatenate(([0], upto[:-1])), upto, strict=True):
             found[i].append(h[a:b])
@@ -88,3 +92,15 @@ def shingle_set(words: np.ndarray, width: int = WORDS) -> np.ndarray:
 
 def shingle_sets(texts: list[str | None], width: int = WORDS) -> list[np.ndarray]:
     return [shingle_set(w, width) for w in word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in texts])]
+
+
+def words_exact(text: str | None) -> list[bytes]:
+    """The words themselves, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingles_exact(text: str | None, width: int = WORDS) -> frozenset[bytes]:
+    """The set of shingle_set() as bytes: words hold no blank, so joined ones tell all apart."""
+    words = words_exact(text)
+    n = min(width, len(words))
+    return frozenset(b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)) if n else frozenset()

@@ -13,7 +13,7 @@ elements out over the buckets instead leaves most buckets of a short text
 empty, and their bands would tie unrelated short texts together.
 
 No stage holds a band's group in one task or lists all its pairs.  Equal
-sets are one node.  In each group the node that shares the most with others
+word sequences are one node, told apart by 128 bits of BLAKE2b of the words.  In each group the node that shares the most with others
 is the centre, and each member is tested against it; links so confirmed
 make components.  What may be missing then are links between different
 components of one group.  Those pairs are listed only where sizes and
@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, few, materialize, wide_hash
-from ._shingles import shingle_sets
+from ._shared import documents, few, materialize, scratch, wide_hash
+from ._shingles import shingle_sets, shingles_exact, words_exact
 
 PERCENT = 85
 ROWS, MANTISSA = 5, 10
@@ -46,6 +46,8 @@ MISSED = 1e-6
 DEVIATIONS = 6
 #: One-bit registers of the members that are left in a group of several components.
 FINE = 2048
+#: Members of one key that one task compares with as many others.
+BLOCK = 2000
 _U = np.uint64
 _rng = np.random.default_rng(21)
 _FINE_FACTORS = _rng.integers(0, 1 << 64, FINE, np.uint64) | _U(1)
@@ -112,7 +114,7 @@ def content_key(id_col: str, text_col: str) -> tuple[Column, Column]:
 
 
 def sketch_table(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, k1, k2, text, node, n, keys, sketch): node is a 64-bit digest of the set; null, without keys, for the empty set.
+    """(doc_id, k1, k2, text, node, n, keys, sketch): node is a digest of the words in order; null, without keys, where there is none.
 
     k1 and k2 are content_key() of the row.
     """
@@ -122,20 +124,21 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str, percent: int = PER
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 nodes, sizes, keys, sketches = [], [], [], []
-                for s in shingle_sets(part.column(3).to_pylist()):
+                texts = part.column(3).to_pylist()
+                for text, s in zip(texts, shingle_sets(texts), strict=True):
                     sketch = registers(s, percent) if len(s) else None
-                    nodes.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
+                    nodes.append(hashlib.blake2b(b" ".join(words_exact(text)), digest_size=16).digest() if len(s) else None)
                     sizes.append(len(s))
                     keys.append(band_keys(sketch) if len(s) else None)
                     sketches.append(sketch.tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                    [*part.columns, pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
                     names=["doc_id", "k1", "k2", "text", "node", "n", "keys", "sketch"],
                 )
 
     k1, k2 = content_key(id_col, text_col)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, k1 long, k2 long, text string, node long, n long, keys array<long>, sketch binary"
+        run, "doc_id long, k1 long, k2 long, text string, node binary, n long, keys array<long>, sketch binary"
     )
 
 
@@ -155,11 +158,11 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a binary, b binary")
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) with 100 * intersection >= percent * union on full sets."""
+    """The (a, b) with 100 * intersection >= percent * union on full sets, of words and not of hashes."""
     ends = nodes.select("node", "text")
     joined = pairs.join(ends.toDF("a", "t_a"), "a").join(ends.toDF("b", "t_b"), "b").select("a", "b", "t_a", "t_b")
 
@@ -168,19 +171,18 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 ids = [part.column(c).to_pylist() for c in (0, 1)]
-                texts: dict[int, str] = {}
+                sets: dict[bytes, frozenset[bytes]] = {}
                 for c in (0, 1):
                     for node, text in zip(ids[c], part.column(2 + c), strict=True):
-                        if node not in texts:
-                            texts[node] = text.as_py()
-                sets = dict(zip(texts, shingle_sets(list(texts.values())), strict=True))
+                        if node not in sets:
+                            sets[node] = shingles_exact(text.as_py())
                 near = []
                 for a, b in zip(*ids, strict=True):
-                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    both = len(sets[a] & sets[b])
                     near.append(100 * both >= percent * (len(sets[a]) + len(sets[b]) - both))
                 yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a binary, b binary")
 
 
 def links(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -226,11 +228,11 @@ def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent
                 part = batch.slice(start, 256)
                 sets = shingle_sets(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), [len(s) for s in sets]))], names=["shingle", "node"]
+                    [pa.array(np.concatenate(sets).view(np.int64)), part.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets])))], names=["shingle", "node"]
                 )
 
     held = materialize(nodes.join(few(who), "node", "left_semi").select("node", "text"), "open-texts", large=True)
-    alone = held.mapInArrow(shingles, "shingle long, node long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    alone = held.mapInArrow(shingles, "shingle long, node binary").groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
     mine = mine.join(alone, "node", "left").select("key", "node", "label", "n", "least", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
     # the best partner has all that is shared and nothing else, but is no smaller than the group's smallest
     mine = materialize(mine.where(f"100 * shared >= {percent} * (n + greatest(shared, least) - shared)"), "able-members")
@@ -244,15 +246,21 @@ def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "bits"])
 
     left = materialize(mine.select("node").distinct(), "able-nodes")
-    sketched = held.join(few(left), "node", "left_semi").mapInArrow(bits, "node long, bits array<long>")
+    sketched = held.join(few(left), "node", "left_semi").mapInArrow(bits, "node binary, bits array<long>")
     sketched = materialize(sketched.join(nodes.select("node", "keys"), "node"), "open-sketches")
     mine = materialize(mine.join(sketched, "node").select("key", "node", "label", "n", "shared", "keys", "bits"), "open-rows")
-    x, y = (mine.toDF("key", *[f"{c}_{s}" for c in ("node", "label", "n", "shared", "keys", "bits")]) for s in "ab")
+    # members of one key are dealt over a grid of blocks, so that no task compares more than BLOCK members with BLOCK others
+    side = materialize(mine.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("side")), "grid-sides")
+    mine = mine.join(few(side), "key").select("*", F.pmod(F.xxhash64("node"), F.col("side")).cast("int").alias("own"))
+    cells = F.explode(F.sequence(F.lit(0), F.col("side") - 1))
+    names = ("node", "label", "n", "shared", "keys", "bits")
+    x = mine.select("key", F.col("own").alias("i"), cells.alias("j"), *[F.col(c).alias(f"{c}_a") for c in names])
+    y = mine.select("key", F.col("own").alias("j"), cells.alias("i"), *[F.col(c).alias(f"{c}_b") for c in names])
     most = F.least("shared_a", "shared_b")
     near = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
     first = F.get("keys_a", (F.array_position(F.zip_with("keys_a", "keys_b", lambda a, b: a == b), True) - 1).cast("int")) == F.col("key")
     apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, v: t + v)
-    return x.join(y, "key").where(near & first & (apart <= fine_disagreements(percent))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return x.join(y, ["key", "i", "j"]).where(near & first & (apart <= fine_disagreements(percent))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -264,37 +272,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     holds its distinct runs of five words, of fewer words the whole
     sequence; without words (null, empty or blank text) it is empty, links
     with nothing and is kept.  component_id is the smallest id reachable by
-    links, kept whether it is the row's own.  Rows of equal sets are linked.
+    links, kept whether it is the row's own.  Rows of equal words are linked.
     Rows of one id and text share their fate.  A row without an id is kept
     exactly if no row of its component has one.  An empty table gives an
     empty result.
     """
-    table = materialize(sketch_table(docs, id_col, text_col, percent), "sketches", large=True)
-    classes = materialize(table.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
-    banded = table.where("node IS NOT NULL").select(F.explode("keys").alias("key"), "node")
-    shared = banded.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
-    members = materialize(banded.join(few(materialize(shared, "shared-keys")), "key", "left_semi").distinct(), "members")
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    weight = materialize(members.join(materialize(sizes, "sizes"), "key").groupBy("node").agg(F.sum("size").alias("weight")), "weights")
-    reps = classes.join(few(weight.select("node")), "node", "left_semi").toDF("node", "rep")
-    nodes = table.join(few(materialize(reps, "candidates")), "node").where("doc_id <=> rep").select("node", "n", "keys", "sketch", "text")
-    nodes = materialize(nodes, "nodes", large=True)
-    if nodes.count() > weight.count():  # equal rows of one id
-        nodes = materialize(nodes.dropDuplicates(["node"]), "nodes", large=True)
-    centre = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"))
-    around = materialize(members.join(materialize(centre, "centres"), "key").where("node <> centre"), "around")
-    found = links(around.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), nodes, percent)
-    labels = components(found)
-    rest = links(_open_pairs(around.select("key", "node"), labels, nodes, percent), nodes, percent)
-    if not rest.isEmpty():
-        labels = components(found.union(rest))
-    ids = classes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
-    linked = materialize(labels.join(classes, "node").groupBy("label").agg(F.min("rep").alias("least")), "linked")
-    ids = ids.join(few(linked), "label", "left").select("node", F.coalesce("least", "rep").alias("component_id"), "label")
-    ids = materialize(ids, "component-ids")
-    full = table.where("node IS NOT NULL").select("doc_id", "k1", "k2", "n", "node").join(ids, "node").select("doc_id", "k1", "k2", "n", "component_id", "label")
-    full = full.union(table.where("node IS NULL").select("doc_id", "k1", "k2", "n", "doc_id", "node"))
-    return full.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "label")
+    with scratch(docs.sparkSession) as kept:
+        table = materialize(sketch_table(docs, id_col, text_col, percent), "sketches", large=True)
+        classes = materialize(table.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
+        banded = table.where("node IS NOT NULL").select(F.explode("keys").alias("key"), "node")
+        shared = banded.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
+        members = materialize(banded.join(few(materialize(shared, "shared-keys")), "key", "left_semi").distinct(), "members")
+        sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+        weight = materialize(members.join(materialize(sizes, "sizes"), "key").groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+        reps = classes.join(few(weight.select("node")), "node", "left_semi").toDF("node", "rep")
+        nodes = table.join(few(materialize(reps, "candidates")), "node").where("doc_id <=> rep").select("node", "n", "keys", "sketch", "text")
+        nodes = materialize(nodes, "nodes", large=True)
+        if nodes.count() > weight.count():  # equal rows of one id
+            nodes = materialize(nodes.dropDuplicates(["node"]), "nodes", large=True)
+        centre = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"))
+        around = materialize(members.join(materialize(centre, "centres"), "key").where("node <> centre"), "around")
+        found = links(around.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), nodes, percent)
+        labels = components(found)
+        rest = links(_open_pairs(around.select("key", "node"), labels, nodes, percent), nodes, percent)
+        if not rest.isEmpty():
+            labels = components(found.union(rest))
+        ids = classes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
+        linked = materialize(labels.join(classes, "node").groupBy("label").agg(F.min("rep").alias("least")), "linked")
+        ids = ids.join(few(linked), "label", "left").select("node", F.coalesce("least", "rep").alias("component_id"), "label")
+        ids = materialize(ids, "component-ids")
+        full = table.where("node IS NOT NULL").select("doc_id", "k1", "k2", "n", "node").join(ids, "node").select("doc_id", "k1", "k2", "n", "component_id", "label")
+        full = full.union(table.where("node IS NULL").select("doc_id", "k1", "k2", "n", "doc_id", "node"))
+        found = full.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "label")
+        return materialize(found, "near-duplicates", large=True, kept=kept)
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

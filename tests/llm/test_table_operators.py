@@ -100,8 +100,66 @@ def test_shards(spark):
     assert not store.due(shards) and max(s.level for s in shards) > 0 and len(shards) < 21
     old = store.versions()
     assert store.snapshot(old[-1]).count() == 3000
-    removed = store.vacuum()
+    removed = store.expire()
     assert removed > 0 and store.versions() == old[-1:] and store.snapshot().count() == 3000
+    store._write(docs, None, 0)  # of a writer that never committed
+    assert store.vacuum() == 0 and store.vacuum(age=-60) > 0 and store.vacuum(age=-60) == 0 and store.snapshot().count() == 3000
+
+
+def test_two_writers_lose_no_arrival(spark):
+    import threading
+
+    root = _shared.fresh_path(spark, "test-writers")
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    failed = []
+
+    def work(w):
+        try:
+            store = sharding.ShardStore(spark, root, docs.schema, target=10_000, fanout=3)
+            for b in range(4):
+                store.append(docs.where(F.col("doc_id") % 8 == 4 * w + b).coalesce(1), f"{w}-{b}")
+                store.compact()
+        except Exception as e:  # noqa: BLE001 - told by the test's own thread
+            failed.append(e)
+
+    threads = [threading.Thread(target=work, args=(w,)) for w in range(2)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    store = sharding.ShardStore(spark, root, docs.schema)
+    now = store.load()
+    assert not failed and sorted(now["arrivals"]) == [f"{w}-{b}" for w in range(2) for b in range(4)]
+    assert store.versions() == list(range(1, now["version"] + 1))
+    assert sorted(r.doc_id for r in store.snapshot().collect()) == list(range(400))
+
+
+def test_only_one_claims_a_version(spark):
+    import threading
+
+    root = _shared.fresh_path(spark, "test-claims")
+    store = sharding.ShardStore(spark, root, "doc_id long")
+    start, won = threading.Barrier(8), []
+
+    def claim(w):
+        start.wait()
+        try:
+            won.append(store.commit({"version": 0}, [], [str(w)]))
+        except sharding.Conflict:
+            pass
+
+    threads = [threading.Thread(target=claim, args=(w,)) for w in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert len(won) == 1 and store.load() == won[0]
+
+
+def test_shards_query(spark, sf):
+    import hashlib
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    rows = sharding.op3_shards(spark, sf).collect()
+    want = sorted((d.doc_id, None if d.text is None else hashlib.sha256(d.text.encode()).hexdigest(), None if d.text is None else len(d.text)) for d in docs)
+    assert sorted((r.doc_id, r.text_sha256, r.n_chars) for r in rows) == want
+    assert len({r.version for r in rows}) == 1 and all(r.shard_bytes > 0 for r in rows)
 
 
 def test_shards_conflict(spark):
@@ -215,6 +273,11 @@ def sets_brute(text):
 def components_brute(rows):
     sets = {i: sets_brute(t) for i, t in rows}
     parent = {i: i for i in sets}
+    holders: dict = {}
+    for i, s in sets.items():
+        for shingle in s:
+            holders.setdefault(shingle, []).append(i)
+    met = {(j, i) for who in holders.values() for i in who for j in who if j < i}  # others share nothing
 
     def find(x):
         while parent[x] != x:
@@ -222,8 +285,8 @@ def components_brute(rows):
         return x
 
     ids = sorted(i for i in sets if sets[i])
-    for n, i in enumerate(ids):
-        for j in ids[:n]:
+    for i in ids:
+        for j in (j for j in ids if (j, i) in met):
             both = len(sets[i] & sets[j])
             if 100 * both >= 85 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
@@ -250,6 +313,27 @@ def test_near_duplicates(spark):
     assert got == components_brute(rows)
 
 
+def test_patterns_of_letters_make_no_links(spark):
+    one = "a"
+    while len(one) < 1024:  # the Thue-Morse word, whose sums of powers modulo 2^64 equal its complement's
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, two), (3, f"{one} x y z"), (4, f"{two} x y z"), (5, one.upper())]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_blocks_of_a_key_find_every_link(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    test_near_duplicates(spark)
+
+
+def test_near_duplicates_query(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.op9_minhash(spark, sf).collect()}
+    assert got == {i: (n, c, i == c) for i, (n, c) in components_brute(docs).items()}
+
+
 def test_near_duplicates_edges(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "p q r s t u"), (2, "p q r s t v w x y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
