@@ -75,20 +75,68 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprints(table(spark, texts).limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 700])
-def test_next_in_order(spark, n):
-    rng = random.Random(n)
-    ids = rng.sample(range(-5000, 5000), n)
-    docs = table(spark, [f"t{i}" for i in ids], ids)
-    got = {r.doc_id: r["__next_text"] for r in fingerprint.with_next(docs, "doc_id", ["text"], F.xxhash64("text")).collect()}
-    order = sorted(ids, reverse=True)
-    assert got == {a: f"t{order[(i + 1) % n]}" for i, a in enumerate(order)}
+def edited_brute(rows):
+    """(id, length, edited, canonical form's, of the edited, near, near) in descending order of id."""
+    order = sorted(rows, key=lambda r: -r[0])
+    out = {}
+    for at, (i, t) in enumerate(order):
+        t, after = t or "", order[(at + 1) % len(order)][1] or ""
+        third = len(t) // 3
+        edited = t[: len(t) - third] + after[:third]
+        out[i] = (len(t), edited, float(canon(t) == canon(edited)), float(canon(t) == canon(after)))
+    return out
 
 
-def test_next_with_ties_and_nulls(spark):
-    docs = table(spark, ["a", "b", "c", "d", "e"], [5, 5, None, 1, None])
-    got = sorted((r.doc_id or 0, r.text, r["__next_text"]) for r in fingerprint.with_next(docs, "doc_id", ["text"], F.col("text")).collect())
-    assert got == [(0, "c", "e"), (0, "e", "a"), (1, "d", "c"), (5, "a", "b"), (5, "b", "d")]
+@pytest.mark.parametrize(("n", "stretch"), [(0, 5), (1, 5), (2, 5), (300, 7), (300, 250_000)])
+def test_edited_texts(spark, monkeypatch, n, stretch):
+    monkeypatch.setattr(fingerprint, "STRETCH", stretch)
+    rng = random.Random(n)
+    ids = rng.sample(range(-5000, 5000), n)
+    texts = [rng.choice([None, "", "a", "Ab c", "é😀 x" * rng.randrange(9), "same text " * 3, "SAME  text " * 3]) for _ in ids]
+    got = {r.doc_id: (r.n_chars, r.edited, r.near_edited, r.near_next) for r in fingerprint.compared_with_edited(table(spark, texts, ids)).collect()}
+    assert got == edited_brute(list(zip(ids, texts, strict=True)))
+
+
+def test_edited_texts_with_ties_nulls_and_repeats(spark):
+    rows = [("abc", 5), ("xyz", 5), ("mno", None), ("def", 1), ("pqr", None), ("pqr", None), ("pqr", None), (None, 1)]
+    docs = table(spark, [t for t, _ in rows], [i for _, i in rows])
+    got = [(r.doc_id, r.edited) for r in fingerprint.compared_with_edited(docs).collect()]
+    assert len(got) == 8 and sorted(str(i) for i, _ in got) == sorted(str(i) for _, i in rows)
+    # ids 5, 5, 1, 1, null four times, then the first again; ties in some fixed order, copies next to each other
+    heads = {i: {(t or "")[:1] for t, j in rows if j == i} for i in (5, 1, None)}
+    for i, edited in got:
+        if edited:
+            assert edited[2:] in heads[i] | heads[{5: 1, 1: None, None: 5}[i]]
+    assert sum(e == "pqp" for _, e in got) >= 2
+
+
+def test_collided_buckets(spark, monkeypatch):
+    texts = [None, "A  b", "a b", "other words", "something else", "a b"]
+    docs = table(spark, texts)
+    plain = {r.doc_id: r["__fingerprint"] for r in fingerprint.fingerprints(docs).collect()}
+    monkeypatch.setattr(fingerprint, "bucket_hash", lambda form: (F.length(form).cast("long") * 0, F.octet_length(form).cast("long") * 0))
+    got = {r.doc_id: r["__fingerprint"] for r in fingerprint.fingerprints(docs).collect()}
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert (got[i] == got[j]) == (plain[i] == plain[j]) == (canon(a) == canon(b))
+    assert all(len(x) == 32 + 1 + 64 for x in got.values())
+    edited = {r.doc_id: (r.n_chars, r.edited, r.near_edited, r.near_next) for r in fingerprint.compared_with_edited(docs).collect()}
+    assert edited == edited_brute(list(enumerate(texts)))
+    with pytest.raises(ValueError, match="names"):
+        fingerprint.fingerprints(docs.withColumn("__fp_h1", F.lit(1)))
+
+
+def test_fingerprint_query(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    found = fingerprint.op4_fingerprint(spark, sf)
+    assert found.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = found.collect()
+    assert {r.doc_id: (r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got} == {i: (n, sha(e), x, y) for i, (n, e, x, y) in edited_brute(rows).items()}
+    forms = {}
+    for r in got:
+        forms.setdefault(r.fingerprint, set()).add(canon(dict(rows)[r.doc_id]))
+    assert all(len(f) == 1 for f in forms.values()) and len(forms) == len({canon(t) for _, t in rows})
 
 
 # secrets
