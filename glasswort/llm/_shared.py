@@ -100,7 +100,14 @@ def materialize(df: DataFrame, label: str, large: bool = False, kept: list[str]
         kept.append(path)
     out = df if large else df.coalesce(FILES * spark.sparkContext.defaultParallelism)
     out.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written = path
+    return found
+
+
+def discard(table: DataFrame) -> None:
+    """Removes a table of materialize() that nothing reads any more, before the scratch() around it ends."""
+    drop_path(table.sparkSession, table._written)
 
 
 def few(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -2,29 +2,31 @@
 
 Repeats are found by column-wise construction over many short strings:
 one symbol of every string is inserted each round, from the last column to
-the first, and the strings' order by the suffixes seen so far (what a
-Burrows-Wheeler transform of the collection lists) and the common prefixes
-of neighbours are updated from the round before.  Columns are read, one a
-round, from a sequential file.  Strings of a class share more than LENGTH
-bytes exactly where neighbours' common prefixes say so.
+the first; the Burrows-Wheeler transform of the collection (the symbols in
+the order of the suffixes behind them) and the common prefixes of
+neighbours are updated from the round before.  Strings of a class share
+LENGTH bytes or more exactly where neighbours' common prefixes say so.
 
 Whole documents would take as many rounds as the longest has bytes, each
 over all text, so the strings are windows.  Every window of LENGTH bytes
 picks an anchor from its own content (the least hash of its grams, as in
 winnowing), so equal strings pick equal anchors at equal places and only
 windows of equal anchors need meet.  Runs of starts that share an anchor
-are one row; rows whose whole surroundings are equal, or whose anchor is
-found once, are settled by their hashes.  The rest is cut into cells of
-CELL starts that share a core of LENGTH - CELL + 1 bytes; cells whose cores
-are equal and whose surroundings differ go through the construction.  A
-class of more than CLASS different surroundings is too much for one task;
-its strings, CELL of a row at most, are compared by 128-bit digests instead.
+are one row; a run whose anchor is found once has no repeat.  Runs of equal
+anchors and equal surroundings (by 128 bits of BLAKE2b) are one kind, and
+two of each kind's places, or its only one, stand for it.  These are cut
+into cells of CELL starts that share a core of LENGTH - CELL + 1 bytes, and
+all cells of a core go through one construction: it alone says what is
+repeated, hashes say who meets whom.
+
+A core with more than CLASS cells is first cut down to two places of each
+content, and one that is still larger to two places of each string.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, few, materialize, schema_of, wide_hash
+from ._shared import discard, documents, few, materialize, schema_of, scratch, wide_hash
 
 LENGTH, GRAM, CELL = 400, 200, 50
 #: Strings of one construction: as many classes as fit, one class at least.
 STRINGS = 1 << 14
-CLASS = 1 << 12
+CLASS = 1 << 14
 _CHUNK, _BITS = 1 << 19, 21
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -77,21 +79,27 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def runs(data: bytes) -> list[np.ndarray]:
-    """(first start, further starts, anchor less first start, anchor's hash, surroundings' hash) of each run of starts that share an anchor."""
-    text, parts = np.frombuffer(data, np.uint8), []
+def _digest(data: bytes, *numbers: int, size: int = 16) -> bytes:
+    return hashlib.blake2b(data + struct.pack(f"<{len(numbers)}q", *numbers), digest_size=size).digest()
+
+
+def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(first start, further starts, anchor less first start, anchor's hash, surroundings' digest) of each run of starts that share an anchor."""
+    text, parts, around = np.frombuffer(data, np.uint8), [], []
     for begin in range(0, len(text) - LENGTH + 1, _CHUNK):
         seg = text[begin : begin + _CHUNK + LENGTH - 1]
-        sums, at = _Sums(seg), np.arange(len(seg) - GRAM + 1)
-        grams = _mix(sums.of(at, at + GRAM))
+        at = np.arange(len(seg) - GRAM + 1)
+        grams = _mix(_Sums(seg).of(at, at + GRAM))
         low = _U((1 << _BITS) - 1)
         anchor = (_least(grams & ~low | at.astype(_U), LENGTH - GRAM + 1) & low).astype(np.int64)
         first = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1))
         last = np.concatenate((first[1:] - 1, [len(anchor) - 1]))
         a = anchor[first]
-        around = _mix(sums.of(first, last + LENGTH) + (a - first).astype(_U) * _U(0x165667B19E3779F9) + (last - first).astype(_U) * _U(0x27D4EB2F165667C5))
-        parts.append((first + begin, last - first, a - first, grams[a].view(np.int64), around.view(np.int64)))
-    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
+        parts.append((first + begin, last - first, a - first, grams[a].view(np.int64)))
+        around += [_digest(data[begin + f : begin + e + LENGTH], lead, e - f) for f, e, lead in zip(first.tolist(), last.tolist(), (a - first).tolist(), strict=True)]
+    if not parts:
+        return *[np.zeros(0, np.int64)] * 4, []
+    return *[np.concatenate(x) for x in zip(*parts, strict=True)], around
 
 
 _RUN = ("p", "more", "lead", "gram", "around")
@@ -112,12 +120,13 @@ def run_table(keyed: DataFrame) -> DataFrame:
                 part = batch.slice(start, 256)
                 found = [runs(t.as_py().encode("utf-8", "surrogatepass")) for t in part.column(2)]
                 ends = np.cumsum([0, *[len(f[0]) for f in found]]).astype(np.int32)
-                flat = [pa.array(np.concatenate([f[c] for f in found])) for c in range(5)]
+                flat = [pa.array(np.concatenate([f[c] for f in found])) for c in range(4)]
+                flat.append(pa.array([x for f in found for x in f[4]], pa.binary()))
                 rows = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(flat, names=list(_RUN)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], rows], names=["k1", "k2", "runs"])
 
     long_enough = keyed.where(F.octet_length("__text") >= LENGTH).select("__k1", "__k2", "__text")
-    fields = ",".join(f"{c}:bigint" for c in _RUN)
+    fields = ",".join(f"{c}:{'binary' if c == 'around' else 'bigint'}" for c in _RUN)
     return long_enough.mapInArrow(find, f"k1 long, k2 long, runs array<struct<{fields}>>")
 
 
@@ -127,35 +136,32 @@ def construct(strings: list[bytes], begin: np.ndarray, width: int, starts: int,
     string i covers the columns begin[i], begin[i] + 1, ... of `width`.
     """
     m, none = len(strings), 256
-    with tempfile.TemporaryFile() as file:
-        table = np.full((m, width), none, np.uint16)
-        for i, (s, b) in enumerate(zip(strings, begin, strict=True)):
-            table[i, b : b + len(s)] = np.frombuffer(s, np.uint8)
-        file.write(np.ascontiguousarray(table.T[::-1]).data)
-        del table
-        file.seek(0)
-        found = np.zeros((m, starts), bool)
-        order, common = np.arange(m), np.zeros(m + 1, np.int32)
-        for column in range(width - 1, -1, -1):
-            symbol = np.frombuffer(file.read(2 * m), np.uint16)[order]
-            insert = np.argsort(symbol, kind="stable")
-            symbol = symbol[insert]
-            same = (symbol[1:] == symbol[:-1]) & (symbol[1:] != none)
-            upper, lower = insert[:-1][same], insert[1:][same]
-            between = np.empty(2 * len(upper), np.int64)
-            between[0::2], between[1::2] = upper + 1, lower + 1
-            least = np.minimum.reduceat(common, between)[::2] if len(upper) else common[:0]
-            common = np.zeros(m + 1, np.int32)
-            common[1:m][same] = least + 1
-            order = order[insert]
-            if column < starts:
-                enough = common >= length
-                found[order, column] = enough[:m] | enough[1:]
+    table = np.full((m, width), none, np.uint16)
+    for i, (s, b) in enumerate(zip(strings, begin, strict=True)):
+        table[i, b : b + len(s)] = np.frombuffer(s, np.uint8)
+    columns = np.ascontiguousarray(table.T)
+    found = np.zeros((m, starts), bool)
+    order, common = np.arange(m), np.zeros(m + 1, np.int32)  # strings by their suffixes; common prefixes with the one before
+    for column in range(width - 1, -1, -1):
+        transform = columns[column][order]  # the Burrows-Wheeler transform of the suffixes so far
+        insert = np.argsort(transform, kind="stable")
+        symbol = transform[insert]
+        same = (symbol[1:] == symbol[:-1]) & (symbol[1:] != none)
+        upper, lower = insert[:-1][same], insert[1:][same]
+        between = np.empty(2 * len(upper), np.int64)
+        between[0::2], between[1::2] = upper + 1, lower + 1
+        least = np.minimum.reduceat(common, between)[::2] if len(upper) else common[:0]
+        common = np.zeros(m + 1, np.int32)
+        common[1:m][same] = least + 1
+        order = order[insert]
+        if column < starts:
+            enough = common >= length
+            found[order, column] = enough[:m] | enough[1:]
     return found
 
 
-def _cells(data: bytes, rows: list[dict]) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(core's hash, surroundings' hash, first start, column of it, bytes) of the cells of a document's runs."""
+def _cells(data: bytes, rows: list[dict]) -> Iterator[tuple]:
+    """The cells of a document's runs, as fields of _CELL but the keys."""
     for r in rows:
         anchor = r["p"] + r["lead"]
         for cell in range((r["lead"] - r["more"]) // CELL, r["lead"] // CELL + 1):  # distances from start to anchor, by CELL
@@ -163,109 +169,171 @@ def _cells(data: bytes, rows: list[dict]) -> Iterator[tuple[int, int, int, int,
             core = data[anchor - cell * CELL : anchor - cell * CELL - CELL + 1 + LENGTH]
             begin = cell * CELL + CELL - 1 - far
             span = data[anchor - far : anchor - near + LENGTH]
-            digest = lambda x: int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
-            yield digest(core + cell.to_bytes(4, "little")), digest(span + begin.to_bytes(4, "little")), anchor - far, begin, span
+            known = int.from_bytes(_digest(core, cell, size=8), "little", signed=True)
+            yield known, _digest(span, begin), r["gram"], r["around"], r["twice"], anchor - far, r["lead"] - far, begin, span
+
+
+#: content: digest of a cell's bytes and place; gram and kind: the run's; twice: of several equal rows; p: first start, also as shift from the run's.
+_CELL = "core long, content binary, gram long, kind binary, twice boolean, p long, shift long, begin long, span binary"
 
 
 def cell_table(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(core, around, k1, k2, p, begin, span) of the runs in rows: (k1, k2, runs)."""
+    """_CELL and k1, k2 of the runs in rows: (k1, k2, runs)."""
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = [f.split()[0] for f in _CELL.split(", ")]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 found = list(_cells(batch.column(3)[i].as_py().encode("utf-8", "surrogatepass"), batch.column(2)[i].as_py()))
-                n = len(found)
-                core, around, p, begin, span = ([f[c] for f in found] for c in range(5))
-                key = [np.full(n, batch.column(c)[i].as_py(), np.int64) for c in (0, 1)]
-                for at in range(0, n, 10_000):
-                    s = slice(at, at + 10_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(core[s], pa.int64()), pa.array(around[s], pa.int64()), pa.array(key[0][s]), pa.array(key[1][s]), pa.array(p[s], pa.int64()), pa.array(begin[s], pa.int64()), pa.array(span[s], pa.binary())],
-                        names=["core", "around", "k1", "k2", "p", "begin", "span"],
-                    )
+                for at in range(0, len(found), 10_000):
+                    part = found[at : at + 10_000]
+                    key = [pa.array(np.full(len(part), batch.column(c)[i].as_py(), np.int64)) for c in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*[pa.array([f[c] for f in part], k) for c, k in enumerate(kinds)], *key], names=[*names, "k1", "k2"])
 
     joined = rows.join(docs, (rows["k1"] == docs["__k1"]) & (rows["k2"] == docs["__k2"])).select("k1", "k2", "runs", "__text")
-    return joined.mapInArrow(cut, "core long, around long, k1 long, k2 long, p long, begin long, span binary")
+    return joined.mapInArrow(cut, _CELL + ", k1 long, k2 long")
+
 
+def _settled(cells: DataFrame, width: int = LENGTH + CELL - 1, starts: int = CELL) -> DataFrame:
+    """(gram, kind, a, b): ranges of repeated strings' starts, as shifts from a run's first, by one construction for each core.
 
-def _repeated_cells(cells: DataFrame) -> DataFrame:
-    """(core, around, hits array<struct<a, b>>): ranges of columns at which repeated strings start."""
+    No core may have many cells.  Of each content two places go in, the same one twice where rows are equal.
+    """
+    wanted = ["core", "content", "gram", "kind", "twice", "shift", "begin", "span"]
 
     def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[dict] = []  # a content of a core: its bytes, and its rows
 
         def out() -> pa.RecordBatch:
-            found = construct([h[3] for h in held], np.array([h[2] for h in held]), LENGTH + CELL - 1, CELL, LENGTH)
-            hits = []
-            for row in found:
-                edge = np.diff(row.astype(np.int8), prepend=0, append=0)
-                hits.append([{"a": int(a), "b": int(b) - 1} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)])
-            kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            made = [pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array(hits, kind)]
-            return pa.RecordBatch.from_arrays(made, names=["core", "around", "hits"])
-
+            strings, begin, owner = [], [], []
+            for i, h in enumerate(held):
+                for span in h["spans"]:
+                    strings.append(span)
+                    begin.append(h["begin"])
+                    owner.append(i)
+            found = construct(strings, np.array(begin), width, starts, LENGTH) if strings else []
+            made: list[list] = [[], [], [], []]
+            for k, i in enumerate(owner):
+                if k and owner[k - 1] == i:
+                    continue
+                edge = np.diff(found[k].astype(np.int8), prepend=0, append=0)
+                for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+                    for gram, kind, shift in held[i]["rows"]:
+                        for c, x in zip(made, (gram, kind, shift + a - held[i]["begin"], shift + b - 1 - held[i]["begin"]), strict=True):
+                            c.append(x)
+            held.clear()
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds, strict=True)], names=["gram", "kind", "a", "b"])
+
+        core = content = None
+        size = 0
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if len(held) >= STRINGS and row[0] != held[-1][0]:
+                if row[0] != core and size >= STRINGS:
                     yield out()
-                    held = []
-                held.append(row)
+                    size = 0
+                if row[:2] != (core, content):
+                    core, content = row[:2]
+                    held.append({"begin": row[6], "spans": [], "rows": []})
+                last = held[-1]
+                if len(last["spans"]) < 2:
+                    last["spans"] += [row[7]] * (2 if row[4] and not last["spans"] else 1)
+                last["rows"].append((row[2], row[3], row[5]))
+                size += 1
         if held:
             yield out()
 
-    dealt = cells.select("core", "around", "begin", "span").repartition("core").sortWithinPartitions("core")
-    return dealt.mapInArrow(solve, "core long, around long, hits array<struct<a:bigint,b:bigint>>")
+    dealt = cells.select(*wanted).repartition("core").sortWithinPartitions("core", "content")
+    return dealt.mapInArrow(solve, "gram long, kind binary, a long, b long")
+
 
+def _two_places(cells: DataFrame, by: list[str]) -> DataFrame:
+    """cells, but only the least and the greatest place of each `by`, and twice also where all its places are one."""
+    place = F.struct("k1", "k2", "p")
+    ends = cells.groupBy(*by).agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("twice").alias("t"))
+    ends = ends.select(*by, F.explode(F.array_distinct(F.array("x", "y"))).alias("e"), ((F.col("x") == F.col("y")) & F.col("t")).alias("again"))
+    keys = [*by, "k1", "k2", "p"]
+    ends = ends.select(*by, "e.*", "again")
+    return cells.join(ends, keys).dropDuplicates(keys).withColumn("twice", F.col("again")).drop("again")
 
-def _repeated_by_digest(cells: DataFrame) -> DataFrame:
-    """What _repeated_cells() finds, for classes of any size: no class meets in one task."""
 
-    def strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _strings(cells: DataFrame) -> DataFrame:
+    """(string digest, at, content, twice, k1, k2, p): every start of cells, `at` its place in the cell; without the bytes."""
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                core, around, begin, span = (c.to_pylist() for c in batch.slice(start, 256).columns)
-                rows = [
-                    (core[i], around[i], begin[i] + s, hashlib.blake2b(span[i][s : s + LENGTH], digest_size=16).digest())
-                    for i in range(len(core))
-                    for s in range(len(span[i]) - LENGTH + 1)
-                ]
-                halves = np.frombuffer(b"".join(r[3] for r in rows), np.int64).reshape(-1, 2)
-                made = [pa.array([r[c] for r in rows], pa.int64()) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([*made, pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["core", "around", "at", "h1", "h2"])
-
-    found = materialize(cells.select("core", "around", "begin", "span").mapInArrow(strings, "core long, around long, at long, h1 long, h2 long"), "strings", large=True)
-    again = materialize(found.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2"), "repeated-strings")
-    hit = F.collect_set(F.struct(F.col("at").alias("a"), F.col("at").alias("b")))
-    return found.join(few(again), ["h1", "h2"], "left_semi").groupBy("core", "around").agg(hit.alias("hits"))
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                spans = part.column(0).to_pylist()
+                at = [(i, s) for i, span in enumerate(spans) for s in range(len(span) - LENGTH + 1)]
+                place = pa.array([i for i, _ in at])
+                made = [_digest(spans[i][s : s + LENGTH]) for i, s in at]
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), pa.array([s for _, s in at], pa.int64()), *[part.column(c).take(place) for c in range(1, 6)]], names=["string", "at", *names])
+
+    names = ["content", "twice", "k1", "k2", "p"]
+    return cells.select("span", *names).mapInArrow(each, "string binary, at long, content binary, twice boolean, k1 long, k2 long, p long")
+
+
+def _settled_by_strings(cells: DataFrame) -> DataFrame:
+    """What _settled() finds, for cores of any number of contents: two places of each repeated string go through the construction."""
+    each = materialize(_strings(cells), "strings", large=True)
+    place = F.struct("k1", "k2", "p", "content", "at")
+    ends = each.groupBy("string").agg(F.sum(F.lit(1) + F.col("twice").cast("int")).alias("c"), F.min(place).alias("x"), F.max(place).alias("y")).where("c > 1")
+    ends = ends.select("string", F.explode(F.array_distinct(F.array("x", "y"))).alias("e"), (F.col("x") == F.col("y")).alias("again")).select("string", "e.*", "again")
+    pairs = materialize(ends, "string-ends").join(cells.select("k1", "k2", "p", "content", "span"), ["k1", "k2", "p", "content"])
+    none = F.lit(0).cast("long")
+    one = pairs.select(
+        F.xxhash64("string").alias("core"), F.col("string").alias("content"), none.alias("gram"), F.col("string").alias("kind"), F.col("again").alias("twice"),
+        none.alias("shift"), none.alias("begin"), F.substring("span", F.col("at").cast("int") + 1, F.lit(LENGTH)).alias("span"),
+    )
+    sure = materialize(_settled(one, LENGTH, 1).select(F.col("kind").alias("string")).distinct(), "sure-strings")
+    return each.join(few(sure), "string", "left_semi").select(none.alias("gram"), F.col("content").alias("kind"), F.col("at").alias("a"), F.col("at").alias("b"))
+
+
+def settle(cells: DataFrame) -> DataFrame:
+    """(gram, kind, a, b) of cells, whatever the sizes of their cores."""
+    above = lambda t: t.groupBy("core").count().where(F.col("count") > CLASS).select("core")
+    large = materialize(above(cells), "large-cores")
+    if large.isEmpty():
+        return _settled(cells)
+    hot = cells.join(few(large), "core", "left_semi")
+    none = F.lit(0).cast("long")
+    # a content stands for its cells, and is a kind of its own here
+    two = _two_places(hot, ["core", "content"]).withColumns({"gram": none, "kind": F.col("content"), "shift": none})
+    two = materialize(two, "hot-cells", large=True)
+    still = materialize(above(two), "still-large")
+    solved = _settled(two.join(few(still), "core", "left_anti"))
+    if not still.isEmpty():
+        solved = solved.unionByName(_settled_by_strings(two.join(few(still), "core", "left_semi")))
+    solved = materialize(solved.select(F.col("kind").alias("content"), "a", "b").distinct(), "hot-solved")
+    named = hot.select("content", "gram", "kind", "shift").distinct().join(solved, "content")
+    named = named.select("gram", "kind", (F.col("shift") + F.col("a")).alias("a"), (F.col("shift") + F.col("b")).alias("b"))
+    return _settled(cells.join(few(large), "core", "left_anti")).unionByName(named)
 
 
 def repeats(keyed: DataFrame) -> DataFrame:
-    """(k1, k2, first, last): ranges of starts of repeated strings."""
+    """(k1, k2, gone): for each row's text the ranges of starts of repeated strings, array<struct<first, last>>, in order."""
     table = materialize(run_table(keyed), "runs", large=True)
     flat = table.select("k1", "k2", F.explode("runs").alias("r")).select("k1", "k2", "r.*")
     several = flat.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
     shared = materialize(flat.join(few(materialize(several, "grams")), "gram", "left_semi"), "shared-runs", large=True)
-    kinds = materialize(shared.groupBy("gram", "around").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", *_RUN[:3])).alias("one")), "kinds")
-    twins = materialize(kinds.where("c > 1").select("gram", "around"), "twins")
-    whole = shared.join(few(twins), ["gram", "around"], "left_semi").select("k1", "k2", F.col("p").alias("first"), (F.col("p") + F.col("more")).alias("last"))
-    mixed = materialize(kinds.groupBy("gram").agg(F.count("*").alias("d"), F.min("c").alias("c")).where("d > 1 AND c = 1").select("gram"), "mixed")
-    one = kinds.join(few(mixed), "gram", "left_semi").select("one.*", "gram", "around")
-    chosen = one.groupBy("k1", "k2").agg(F.collect_set(F.struct(*_RUN)).alias("runs"))
-    cells = materialize(cell_table(keyed.select("__k1", "__k2", "__text"), materialize(chosen, "open-runs")).dropDuplicates(["core", "around", "k1", "k2", "p"]), "cells", large=True)
-    sorts = materialize(cells.groupBy("core", "around").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "p")).alias("one")), "sorts")
-    equal = cells.join(few(materialize(sorts.where("c > 1").select("core", "around"), "equal")), ["core", "around"], "left_semi")
-    span = F.octet_length("span") - LENGTH
-    equal = equal.select("k1", "k2", F.col("p").alias("first"), (F.col("p") + span).alias("last"))
-    unlike = materialize(sorts.groupBy("core").agg(F.count("*").alias("d"), F.min("c").alias("c")).where("d > 1 AND c = 1").select("core", (F.col("d") > CLASS).alias("large")), "unlike")
-    asked = sorts.join(few(unlike), "core").select("core", "around", "large", "one.*")
-    asked = cells.join(few(materialize(asked, "asked")), ["core", "around", "k1", "k2", "p"])
-    solved = _repeated_cells(asked.where("NOT large")).where("size(hits) > 0")
-    if not unlike.where("large").isEmpty():
-        solved = solved.union(_repeated_by_digest(asked.where("large")))
-    solved = materialize(solved, "solved")
-    parts = cells.select("core", "around", "k1", "k2", "p", "begin").join(solved, ["core", "around"]).select("k1", "k2", "p", "begin", F.explode("hits").alias("h"))
-    parts = parts.select("k1", "k2", (F.col("p") + F.col("h.a") - F.col("begin")).alias("first"), (F.col("p") + F.col("h.b") - F.col("begin")).alias("last"))
-    return whole.union(equal).union(parts)
+    discard(table)
+    place = F.struct("k1", "k2", "p", "more", "lead")
+    kinds = materialize(shared.groupBy("gram", "around").agg(F.count("*").alias("c"), F.min(place).alias("x"), F.max(place).alias("y")), "kinds")
+    equal_rows = (F.col("c") > 1) & (F.col("x") == F.col("y"))
+    ends = kinds.select("gram", "around", equal_rows.alias("twice"), F.explode(F.array_distinct(F.array("x", "y"))).alias("e")).select("gram", "around", "twice", "e.*")
+    chosen = materialize(ends.groupBy("k1", "k2").agg(F.collect_set(F.struct(*_RUN, "twice")).alias("runs")), "chosen-runs", large=True)
+    texts = keyed.select("__k1", "__k2", "__text")
+    if not kinds.where(equal_rows).isEmpty():
+        texts = texts.dropDuplicates(["__k1", "__k2"])
+    cells = materialize(cell_table(texts, chosen), "cells", large=True)
+    solved = materialize(settle(cells), "solved", large=True)
+    discard(cells)
+    ranges = materialize(solved.groupBy("gram", F.col("kind").alias("around")).agg(F.collect_set(F.struct("a", "b")).alias("ranges")), "ranges")
+    placed = F.transform("ranges", lambda r: F.struct((F.col("p") + r["a"]).alias("first"), (F.col("p") + r["b"]).alias("last")))
+    found = shared.join(few(ranges), ["gram", "around"]).select("k1", "k2", placed.alias("r"))
+    return found.groupBy("k1", "k2").agg(F.sort_array(F.flatten(F.collect_set("r"))).alias("gone"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -279,7 +347,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty result.
     """
     keyed = _keyed(docs, id_col, text_col)
-    gone = repeats(keyed).groupBy(F.col("k1").alias("__g1"), F.col("k2").alias("__g2")).agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("__gone"))
+    with scratch(docs.sparkSession) as kept:
+        gone = materialize(repeats(keyed).toDF("__g1", "__g2", "__gone"), "gone", large=True, kept=kept)
     joined = keyed.join(gone, (F.col("__k1") == F.col("__g1")) & (F.col("__k2") == F.col("__g2")), "left")
     columns = docs.columns
     n = len(columns)

@@ -199,7 +199,7 @@ def repeats_brute(texts, length):
     return out
 
 
-@pytest.mark.parametrize("largest", [suffix_dedup.CLASS, 1])
+@pytest.mark.parametrize("largest", [suffix_dedup.CLASS, 3, 1])
 def test_suffix_dedup(spark, monkeypatch, largest):
     monkeypatch.setattr(suffix_dedup, "CLASS", largest)
     rng = random.Random(9)
@@ -221,11 +221,37 @@ def test_suffix_dedup(spark, monkeypatch, largest):
     assert suffix_dedup.remove_repeats(table(spark, texts).limit(0)).collect() == []
 
 
-def test_repeated_rows_are_repeats(spark):
+@pytest.mark.parametrize("largest", [suffix_dedup.CLASS, 3, 1])
+def test_repeated_rows_are_repeats(spark, monkeypatch, largest):
+    monkeypatch.setattr(suffix_dedup, "CLASS", largest)
     docs = table(spark, ["q" * 200 + "r" * 300] * 2, [1, 1])
     assert [r["__n_removed"] for r in suffix_dedup.remove_repeats(docs).collect()] == [500, 500]
 
 
+def test_nothing_goes_that_the_construction_does_not_find(spark, monkeypatch):
+    texts = ["".join(random.Random(7).choice("abc") for _ in range(900))] * 3
+    assert [r["__n_removed"] for r in suffix_dedup.remove_repeats(table(spark, texts)).collect()] == [900] * 3
+    monkeypatch.setattr(suffix_dedup, "_settled", lambda cells, *a: cells.select("gram", "kind", F.col("p").alias("a"), F.col("p").alias("b")).limit(0))
+    assert [r["__n_removed"] for r in suffix_dedup.remove_repeats(table(spark, texts)).collect()] == [0] * 3
+
+
+def test_patterns_of_letters_are_no_repeats(spark):
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    texts = [one, one.translate(str.maketrans("ab", "ba"))]
+    got = {r.doc_id: (r["__n_bytes"], r["__n_removed"], r["__n_spans"], bytes(r["__kept"])) for r in suffix_dedup.remove_repeats(table(spark, texts)).collect()}
+    assert [got[i] for i in range(2)] == repeats_brute(texts, suffix_dedup.LENGTH)
+
+
+def test_suffix_query(spark, sf):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = suffix_dedup.op6_suffix(spark, sf)
+    assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    want = dict(zip(docs, [(n, r, s, hashlib.sha256(k).hexdigest()) for n, r, s, k in repeats_brute(list(docs.values()), suffix_dedup.LENGTH)], strict=True))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect()} == want
+
+
 def test_column_wise_construction():
     rng = random.Random(4)
     strings, begin = [], []
@@ -307,11 +333,13 @@ def test_segment_tree():
         assert tree.least() == min(keys)
 
 
-def test_queries_return_every_row(spark, sf):
+def test_bpe_query(spark, sf, tokenizers):
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     sha = lambda b: hashlib.sha256(b).hexdigest()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = bpe.op10_bpe(spark, sf).collect()
-    assert len(rows) == n and all(r.decoded_sha256 == sha(texts[r.doc_id].encode()) for r in rows)
-    assert suffix_dedup.op6_suffix(spark, sf).count() == n
-    assert fingerprint.op4_fingerprint(spark, sf).count() == n
+    assert len(rows) == n and all(r.decoded_sha256 == sha((texts[r.doc_id] or "").encode()) for r in rows)
+    _, theirs = tokenizers
+    for r in rows:
+        ids = theirs.encode_ordinary(texts[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), sha(" ".join(map(str, ids)).encode()))
