@@ -16,7 +16,8 @@ from functools import reduce
 
 import numpy as np
 
-from .containers import png_chunks, read_ifd, sniff
+from .containers import listed, read_ifd, sniff
+from .framing import PNG, parts
 
 MOST_PIXELS = 512_000_000
 
@@ -133,7 +134,7 @@ def _unfilter(raw: bytes, height: int, stride: int, step: int) -> tuple[np.ndarr
 def _png(data: bytes) -> Decoded:
     errors: list[str] = []
     packed, palette, alpha, orientation, frames, head = [], None, None, None, 1, None
-    for kind, a, b in png_chunks(data, errors):
+    for kind, a, b in listed(parts(data, PNG, 8), errors):
         if kind == b"IHDR":
             head = struct.unpack(">IIBBBBB", data[a:b])
         elif kind == b"PLTE":
@@ -186,8 +187,8 @@ def _png(data: bytes) -> Decoded:
 
 
 def _netpbm(data: bytes) -> Decoded:
-    parts, at = [], 2
-    while len(parts) < 3:
+    numbers, at = [], 2
+    while len(numbers) < 3:
         while at < len(data) and data[at : at + 1].isspace():
             at += 1
         if data[at : at + 1] == b"#":
@@ -198,9 +199,9 @@ def _netpbm(data: bytes) -> Decoded:
             end += 1
         if end == at:
             raise ImageLoadError("PNM header")
-        parts.append(int(data[at:end]))
+        numbers.append(int(data[at:end]))
         at = end
-    width, height, _ = parts
+    width, height, _ = numbers
     channels = 3 if data[:2] == b"P6" else 1
     need = width * height * channels
     if not 0 < width * height <= MOST_PIXELS:

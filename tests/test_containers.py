@@ -7,6 +7,7 @@ import pytest
 
 from glasswort.functions import rules
 from glasswort.operators import containers as C
+from glasswort.operators import framing
 from glasswort.operators.provenance import provenance
 
 
@@ -163,15 +164,59 @@ def test_short_files_still_speak(found):
 
 def test_bounds():
     errors = []
-    empty = b"\x89PNG\r\n\x1a\n" + (struct.pack(">I", 0) + b"aaaa" + b"\0" * 4) * (C.MOST_PARTS + 5)
-    assert sum(1 for _ in C.png_chunks(empty, errors)) == C.MOST_PARTS and "stopped walking" in errors[0]
+    empty = b"\x89PNG\r\n\x1a\n" + (struct.pack(">I", 0) + b"aaaa" + b"\0" * 4) * (framing.MOST_PARTS + 5)
+    assert sum(1 for _ in C.listed(framing.parts(empty, framing.PNG, 8), errors)) == framing.MOST_PARTS and "stopped walking" in errors[0]
     bomb = png(chunk(b"zTXt", b"k\0\0" + zlib.compress(b"\0" * (C.MOST_INFLATED + 1))))
     assert any("inflate cap" in e for e in C.walk(bomb).errors)
     assert any("79-byte" in e for e in C.walk(png(text("k" * 80, "v"))).errors)
-    assert list(C.media_boxes(struct.pack(">I4sQ", 1, b"meta", 4))) == []
+    assert list(framing.parts(struct.pack(">I4sQ", 1, b"meta", 4), framing.BOX)) == []
     assert C.walk(jpeg(segment(0xE1, b"Exif\0\0xx"))).errors
 
 
+def tags(data, layout, begin=0):
+    return [p.tag for p in framing.parts(data, layout, begin)]
+
+
+def test_layouts():
+    assert tags(png(text("a", "b")), framing.PNG, 8) == [b"IHDR", b"tEXt", b"IDAT", b"IEND"]
+    assert tags(png() + b"more", framing.PNG, 8)[-1] == b"IEND"
+    filled = b"\xff\xd8\xff\xd0\xff\xff\xff" + segment(0xFE, b"x") + segment(0xDA, b"") + b"rest"
+    assert tags(filled, framing.JPEG, 2) == [0xFE, 0xDA]
+    with pytest.raises(framing.Broken):
+        tags(b"\xff\xd8abcdef", framing.JPEG, 2)
+    with pytest.raises(framing.Broken):
+        tags(png()[:8] + struct.pack(">I", 4) + b"1234" + b"\0" * 8, framing.PNG, 8)
+    odd = webp((b"XMP ", b"abc"), (b"EXIF", b"d"))
+    assert [odd[p.begin : p.end] for p in framing.parts(odd, framing.RIFF, 12)] == [b"abc", b"d"]
+    wide = struct.pack(">I4sQ", 1, b"mdat", 20) + b"abcd" + struct.pack(">I4s", 0, b"free") + b"tail"
+    assert [(p.tag, wide[p.begin : p.end]) for p in framing.parts(wide, framing.BOX)] == [(b"mdat", b"abcd"), (b"free", b"tail")]
+    inside = box(b"moov", box(b"trak", box(b"meta", b"\0" * 4 + box(b"moov", box(b"uuid", b"deep")))))
+    assert [p.tag for p in framing.nested(inside, framing.BOX, C._HOLDERS, 3)] == [b"moov", b"trak", b"meta", b"moov"]
+
+
+def test_manifest_parts():
+    whole = manifest(superbox(b"c2as", "c2pa.assertions"))
+    want = [(b"c2pa", "c2pa"), (b"c2ma", "urn:x"), (b"c2as", "c2pa.assertions")]
+    assert framing.jumbf(whole, C.CONTENT_TAIL) == want
+    assert framing.jumbf(superbox(b"c2pa", "c2pa")[8:], C.CONTENT_TAIL) == want[:1]  # without the outer header
+    assert framing.jumbf(box(b"jumb", box(b"jumd", b"c2pa" + bytes(12) + b"\x03a\0")), C.CONTENT_TAIL) == []
+    assert C.named_labels(b"kc2pa.actionskc2pa.createdx c2pa.own.thing. c2pa.org c2pa.ab") == {"c2pa.actions", "c2pa.created", "c2pa.own.thing"}
+
+
+def test_cbor():
+    assert framing.cbor_text(b"\x63abc", 0, 512) == "abc" and framing.cbor_text(b"\x78\x03abc", 0, 512) == "abc" and framing.cbor_text(b"\x79\0\x03abc", 0, 512) == "abc"
+    for bad in (b"", b"\x60", b"\x43abc", b"\x64abc", b"\x7fabc", b"\x78", b"\x79\x02\x01" + b"a" * 513):
+        assert framing.cbor_text(bad, 0, 512) is None
+    assert C.claim_maker(b"claim_generator_infoxname" + b"\x65Maker") == "Maker" and C.claim_maker(cbor("claim_generator", " Tool ")) == "Tool"
+    assert C.claim_maker(b"claim_generator" + b"\x18") is None
+
+
+def test_text_chunks():
+    long = png(chunk(b"tEXt", b"nosep"), chunk(b"zTXt", b"k\0\x01abc"), chunk(b"zTXt", b"z\0\0" + zlib.compress(b"deep")), chunk(b"iTXt", b"i\0\0"), chunk(b"iTXt", b"j\0\0\0en\0t\0" + "é".encode()), chunk(b"zTXt", b"bad\0\0xx"))
+    found = C.Found()
+    assert C.png_texts(long, found) == {"z": ("deep", "zTXt"), "j": ("é", "iTXt")} and len(found.errors) == 3
+
+
 def test_first_text_of_a_key_wins():
     assert C.png_texts(png(text("a", "1"), text("a", "2")), C.Found())["a"] == ("1", "tEXt")
 
