@@ -41,42 +41,11 @@ def pair_ranks(ranks: dict[bytes, int]) -> list[int]:
     return [ranks.get(bytes((a, b)), _NONE) for a in range(256) for b in range(256)]
 
 
-class SegmentTree:
-    """The least of n keys under point updates."""
-
-    __slots__ = ("size", "tree")
-
-    def __init__(self, keys: list[int]):
-        size = 1
-        while size < len(keys):
-            size *= 2
-        tree = [_NONE] * size + keys + [_NONE] * (size - len(keys))
-        for i in range(size - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
-        self.size, self.tree = size, tree
-
-    def least(self) -> int:
-        return self.tree[1]
-
-    def put(self, at: int, key: int) -> None:
-        tree, i = self.tree, at + self.size
-        tree[i] = key
-        while i > 1:
-            other = tree[i ^ 1]
-            if other < key:
-                key = other
-            i >>= 1
-            if tree[i] == key:
-                break
-            tree[i] = key
-
-
 def merge(piece: bytes, ranks: dict[bytes, int], pairs: list[int] | None = None) -> list[bytes]:
     """The tokens that merging leaves: always the leftmost pair of the lowest rank, while there is one.
 
-    pairs is pair_ranks(ranks), for speed.  The tree's walks are written out
-    here, as pieces are many and short; SegmentTree says the same in words.
+    pairs is pair_ranks(ranks), for speed.  The segment tree lies in a list:
+    node i has the children 2i and 2i + 1, a key is a rank above its place.
     """
     n = len(piece)
     if n < 2:
@@ -178,13 +147,21 @@ def encode_table(
     """keep (or all columns but the text) with n_tokens, and ids array<int> and decoded binary, or with digests their sha256.
 
     A null text is an empty one: no ids, no bytes.  Special tokens of the
-    vocabulary are ordinary text.  Rows stay where they are: no shuffle.  A
-    kept column that has the name of a result column is left out.
+    vocabulary are ordinary text.  Rows stay where they are: no shuffle.
+    Texts of any length are encoded whole; equal texts, so repeated rows,
+    get equal results; an empty table gives an empty one.  A kept column
+    that has the name of a result column comes as input_<name>.
     """
     with open(ranks_file, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
     made = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c != text_col and c not in made]
+    keep = [c for c in (docs.columns if keep is None else keep) if c != text_col]
+    for c in [c for c in keep if c in made]:
+        free = f"input_{c}"
+        while free in docs.columns:
+            free = f"input_{free}"
+        docs = docs.withColumnRenamed(c, free)
+        keep[keep.index(c)] = free
     made_types = "n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

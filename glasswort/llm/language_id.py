@@ -114,12 +114,13 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample
     """A model of the non-null languages of labelled; None where there is no text with a letter.
 
     Of each language sample / languages documents are taken, one at least,
-    or all where it has fewer: those of the least hash of the id, so reruns
-    take the same.  A model holds `sample` languages at most, the most
-    frequent ones; documents of others can't be told.
+    or all where it has fewer: those of the least hash of id and text, so
+    reruns take the same, null and repeated ids included; of equal rows any.
+    A model holds `sample` languages at most, the most frequent ones;
+    documents of others can't be told.
     """
     usable = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     lang = F.col(lang_col).cast("string")
     langs = {r[0]: r[1] for r in usable.groupBy(lang).count().orderBy(F.col("count").desc(), lang).limit(sample).collect()}
     if not langs:
@@ -140,7 +141,7 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample
                 names=["draw", "lang", "at", "n"],
             )
 
-    rows = chosen.mapInArrow(count, "draw double, lang string, at array<int>, n array<float>").orderBy("draw", "lang").collect()
+    rows = chosen.mapInArrow(count, "draw double, lang string, at array<int>, n array<float>").orderBy("draw", "lang", "at", "n").collect()
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return None
@@ -159,10 +160,15 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", ambig
 
     A text that is null, empty or without letters is `und`, of score 0, not
     ambiguous; so is every text if there is no model.  Equal texts get equal
-    answers.  Other columns pass through.
+    answers, so repeated rows agree.  Texts of any length are read whole, in
+    pieces.  An empty table gives an empty result.  Other columns pass
+    through; one named like a result (__lang, __score, __ambiguous) is an
+    error.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
+    if clash := {"__lang", "__score", "__ambiguous"} & set(columns):
+        raise ValueError(f"columns {sorted(clash)} have the results' names")
     at = columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -307,6 +307,9 @@ def test_bpe_long_pieces_and_table(spark, tokenizers):
         t = texts[r.doc_id] or ""
         assert list(r.ids) == theirs.encode_ordinary(t) and bytes(r.decoded) == t.encode() and r.n_tokens == len(r.ids)
     assert bpe.encode_table(table(spark, texts).limit(0), "text", P.path(bpe.FILE), P.PATTERN).collect() == []
+    clash = spark.createDataFrame([("a b", 7, "x")], "text string, n_tokens int, ids string")
+    row = bpe.encode_table(clash, "text", P.path(bpe.FILE), P.PATTERN).first()
+    assert (row.input_n_tokens, row.input_ids, row.n_tokens, bytes(row.decoded)) == (7, "x", 2, b"a b")
 
 
 def test_bpe_forgets_and_stays_right(tokenizers):
@@ -322,10 +325,44 @@ def mine_pattern():
     return P.PATTERN
 
 
+NONE = 1 << 32
+
+
+class SegmentTree:
+    """The least of n keys under point updates."""
+
+    __slots__ = ("size", "tree")
+
+    def __init__(self, keys: list[int]):
+        size = 1
+        while size < len(keys):
+            size *= 2
+        tree = [NONE * 4096] * size + keys + [NONE * 4096] * (size - len(keys))
+        for i in range(size - 1, 0, -1):
+            a, b = tree[2 * i], tree[2 * i + 1]
+            tree[i] = a if a < b else b
+        self.size, self.tree = size, tree
+
+    def least(self) -> int:
+        return self.tree[1]
+
+    def put(self, at: int, key: int) -> None:
+        tree, i = self.tree, at + self.size
+        tree[i] = key
+        while i > 1:
+            other = tree[i ^ 1]
+            if other < key:
+                key = other
+            i >>= 1
+            if tree[i] == key:
+                break
+            tree[i] = key
+
+
 def test_segment_tree():
     rng = random.Random(2)
     keys = [rng.randrange(1000) for _ in range(37)]
-    tree = bpe.SegmentTree(list(keys))
+    tree = SegmentTree(list(keys))
     for _ in range(500):
         i, k = rng.randrange(37), rng.randrange(1000)
         keys[i] = k
@@ -333,6 +370,30 @@ def test_segment_tree():
         assert tree.least() == min(keys)
 
 
+def merged_by_tree(piece, ranks):
+    """bpe.merge() in words: the tree's root is the lowest rank, at the leftmost place that has it."""
+    parts = {i: piece[i : i + 1] for i in range(len(piece))}
+    after = lambda i: min((j for j in parts if j > i), default=None)
+    key = lambda i: NONE * 4096 if after(i) is None or parts[i] + parts[after(i)] not in ranks else ranks[parts[i] + parts[after(i)]] * 4096 + i
+    tree = SegmentTree([key(i) for i in range(len(piece))])
+    while tree.least() < NONE * 4096 and (i := tree.least() % 4096) in parts:
+        j = after(i)
+        parts[i] += parts.pop(j)
+        tree.put(j, NONE * 4096)
+        for k in [i, *([max(p for p in parts if p < i)] if any(p < i for p in parts) else [])]:
+            tree.put(k, key(k))
+    return [parts[i] for i in sorted(parts)]
+
+
+def test_merging_by_a_segment_tree(tokenizers):
+    mine, _ = tokenizers
+    ranks = {token: int(rank) for rank, token in mine.tokens.items()}
+    rng = random.Random(5)
+    for n in (2, 3, 7, 40, 90):
+        piece = bytes(rng.choice(b"the cat sat on aaab") for _ in range(n))
+        assert bpe.merge(piece, ranks) == merged_by_tree(piece, ranks)
+
+
 def test_bpe_query(spark, sf, tokenizers):
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     sha = lambda b: hashlib.sha256(b).hexdigest()
