@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ._shared import discard, documents, few, materialize, schema_of, scratch, wide_hash
 
-LENGTH, GRAM, CELL = 400, 200, 50
+LENGTH, GRAM, CELL = 400, 200, 100
 #: Strings of one construction: as many classes as fit, one class at least.
 STRINGS = 1 << 14
 CLASS = 1 << 14
