@@ -221,7 +221,7 @@ def test_language_edges(spark):
 # top-k
 
 
-def top_brute(rows, k):
+def top_brute(rows, k, most=10**60):
     out = set()
     usable = [(i, v) for i, v, _ in rows if i is not None and v and None not in v]
     for i, v, q in rows:
@@ -229,7 +229,7 @@ def top_brute(rows, k):
             best: dict = {}
             for j, w in usable:
                 if j != i and len(w) == len(v):
-                    best[j] = max(best.get(j, -(10**30)), sum(a * b for a, b in zip(v, w, strict=True)))
+                    best[j] = max(best.get(j, -most), min(most, sum(a * b for a, b in zip(v, w, strict=True))))
             out |= {(i, r + 1, j, s) for r, (j, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k])}
     return out
 
@@ -244,6 +244,23 @@ def test_top_k(spark, seed, spread):
     assert got == top_brute(rows, 6)
 
 
+def test_top_k_in_waves(spark, monkeypatch):
+    monkeypatch.setattr(topk, "WAVE", 1)
+    monkeypatch.setattr(topk, "QUERIES_A_BLOCK", 4)
+    monkeypatch.setattr(topk, "ROWS", 30)
+    rng = random.Random(4)
+    rows = [(i, [rng.randrange(-9, 10) for _ in range(6 if i % 3 else 4)], i % 11 == 0) for i in range(200)]
+    got = {tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "id long, vec array<long>, q boolean"), F.col("q"), k=5).collect()}
+    assert got == top_brute(rows, 5)
+
+
+def test_top_k_of_huge_components(spark):
+    top = (1 << 63) - 1
+    rows = [(1, [1 << 40, 1 << 40], True), (2, [1 << 40, 1 << 39], False), (3, [-top, -top], True), (4, [5, -5], False), (5, [top, 0], False)]
+    got = {tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "id long, vec array<long>, q boolean"), F.col("q"), k=9).collect()}
+    assert got == top_brute(rows, 9, top)
+
+
 def test_top_k_small_tables(spark):
     table = spark.createDataFrame([(1, [1, 2], True), (2, [3, 4], False)], "id long, vec array<long>, q boolean")
     assert [tuple(r) for r in topk.top_k(table, F.col("q")).collect()] == [(1, 1, 2, 11)]
