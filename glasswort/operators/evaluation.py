@@ -74,7 +74,8 @@ def _at_fpr(target: float, score: str) -> Column:
     """Over the rows of score_groups(): the k-th largest real score; see threshold_at_fpr()."""
     k = F.floor(F.lit(float(target)) * F.col("n_real"))
     kth = F.max(F.when((F.col("neg") > 0) & (k > 0) & (F.col("n_real") - F.col("neg_before") >= k), F.col(score)))
-    return F.coalesce(kth, _next_up(F.max(F.when(F.col("neg") > 0, F.col(score)))), F.lit(0.5))
+    top = F.max(F.when(F.col("neg") > 0, F.col(score)))
+    return F.coalesce(kth, F.when(top.isNotNull(), _next_up(F.coalesce(top, F.lit(0.5)))), F.lit(0.5))  # reflect() takes no null
 
 
 def _at_tpr(target: float, score: str) -> Column:
