@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import logit, platt, sigmoid
+from ..functions.scores import logit, platt, probe_score, sigmoid
 from . import calibrate as C
 from . import evaluation as E
 
@@ -90,15 +90,56 @@ def fusion_report(scored: DataFrame, pool: Sequence[str], members: Sequence[str]
     return model, report
 
 
-def benchmark_report(scored: DataFrame, bench: DataFrame, target: float = 0.05, least: int = 20) -> dict:
+def leakage_report(scored: DataFrame, bench: DataFrame, members: Sequence[str], cached: str, target: float = 0.05) -> dict:
+    """Held-out figures of members and a probe, with its cached out-of-fold scores and with a probe refitted strictly in each fold.
+
+    scored is (id, y, fold, detector, score) with the cached column as a
+    detector of its own; bench is (id, y, fold, embedding).  In the strict
+    form the calibrator of a fold sees the scores of that fold's probe on
+    its own training rows only.  Folds whose training rows lack a class are
+    left out of both.
+    """
+    counts = bench.where("fold IS NOT NULL").groupBy("fold").agg(F.sum(F.expr("int(y = 1)")).alias("ai"), F.sum(F.expr("int(y = 0)")).alias("real")).collect()
+    ai, real = sum(r["ai"] for r in counts), sum(r["real"] for r in counts)
+    folds = sorted(r["fold"] for r in counts if ai > r["ai"] and real > r["real"])
+    if not folds:
+        return {"cached": {}, "strict": {}}
+    columns = ["id", "y", "fold", "detector", "score"]
+    others = scored.where(F.col("detector").isin(list(members))).select(*columns)
+    probes = C.leakage(bench, folds)
+    refitted = None
+    for fold, probe in probes.items():
+        rows = bench.select("id", "y", "fold", F.lit(cached).alias("detector"), probe_score(F.col("embedding"), probe.weights, probe.bias).alias("score"), F.lit(fold).alias("train_fold"))
+        refitted = rows if refitted is None else refitted.unionByName(rows)
+    held = F.col("fold") == F.col("train_fold")
+    calibrators = C.fold_calibrators(others)
+    forms = {
+        "cached": (others.unionByName(scored.where(F.col("detector") == cached).select(*columns)), C.fold_calibrators(scored.where(F.col("detector") == cached))),
+        "strict": (others.unionByName(refitted.where(held).select(*columns)), C.platt_fit(refitted.where(~held), ["train_fold", "detector"])),
+    }
+    report = {}
+    for form, (rows, own) in forms.items():
+        z = C.oof_log_odds(rows.where(F.col("fold").isin(folds)), calibrators.unionByName(own))
+        fused = C.fuse_rows(z, [*members, cached])
+        report[form] = _one(measured(fused, E.threshold_at_fpr(fused, target)))
+    return report
+
+
+def benchmark_report(scored: DataFrame, bench: DataFrame, target: float = 0.05, least: int = 20, track: str | None = None) -> dict:
     """A line for each detector and protocol, the gaps between protocols, and recall and false positives of the best detector on crops.
 
-    scored is (id, y, detector, protocol, score), bench (id, y, generator, source).
+    scored is (id, y, detector, protocol, score), bench (id, y, generator, source)
+    and, for a report on one track or by track, the track.
     """
+    if track is not None:
+        bench = bench.where(F.col("track") == track)
+        scored = scored.join(bench.select("id"), "id", "left_semi")
     by = ["detector", "protocol"]
     lines = measured(scored, E.threshold_at_fpr(scored, target, by), by).where(f"n >= {int(least)} AND n_ai > 0 AND n_real > 0")
     gaps = E.protocol_gaps(E.ranking(scored, by))
-    report = {"lines": [r.asDict() for r in lines.orderBy("detector", "protocol").collect()], "gaps": _by(gaps, "detector")}
+    tracks = F.array_sort(F.collect_set("track")) if "track" in bench.columns else F.array().cast("array<string>")
+    images = bench.agg(F.count("*").alias("n"), F.count_if(F.col("y") == 0).alias("n_real"), F.count_if(F.col("y") == 1).alias("n_ai"), F.countDistinct(F.expr("if(y = 1, generator, NULL)")).alias("generators"), tracks.alias("tracks"))
+    report = {"images": _one(images), "lines": [r.asDict() for r in lines.orderBy("detector", "protocol").collect()], "gaps": _by(gaps, "detector")}
     crops = [r for r in report["lines"] if r["protocol"] == "crop"]
     if not crops:
         return report | {"best": None}
@@ -109,6 +150,27 @@ def benchmark_report(scored: DataFrame, bench: DataFrame, target: float = 0.05,
     return report | {"best": best["detector"], "recall": _by(recall, "generator"), "false_positives": _by(wrong, "source")}
 
 
+def benchmark_markdown(report: dict, target: float = 0.05) -> str:
+    """benchmark_report() as Markdown: what it stands on, then a section for each of its tables; missing figures are dashes."""
+
+    def cell(v: object) -> str:
+        return "-" if v is None or v != v else f"{v:.3f}" if isinstance(v, float) else str(v)
+
+    def section(title: str, names: Sequence[str], rows: Sequence[Sequence[object]]) -> list[str]:
+        return [f"## {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names), *["| " + " | ".join(map(cell, r)) + " |" for r in rows], ""]
+
+    n = report["images"]
+    lines = ["# Benchmark report", "", f"- images: {n['n']} ({n['n_real']} real, {n['n_ai']} generated)", f"- generators: {n['generators']}", f"- tracks: {', '.join(n['tracks'])}"]
+    lines += [f"- thresholds: fitted on the same rows for a false positive rate of {target:.0%}", ""]
+    figures = {"detector": "detector", "protocol": "protocol", "n": "n", "auroc": "AUROC", "balanced_accuracy": "bAcc", "tpr": "TPR", "fpr": "FPR"}
+    lines += section("Detectors by protocol", list(figures.values()), [[r.get(f) for f in figures] for r in report["lines"]])
+    for title, key, of in (("Gaps between protocols", "gaps", "detector"), ("Recall by generator", "recall", "generator"), ("False positives by source", "false_positives", "source")):
+        if table := report.get(key):
+            names = list(next(iter(table.values())))
+            lines += section(title, [of, *names], [[k, *[table[k][c] for c in names]] for k in sorted(table)])
+    return "\n".join(lines)
+
+
 def robustness_report(scored: DataFrame, target: float = 0.05, clean: str = "clean") -> dict:
     """For each detector the threshold fitted on clean scores, and what every degradation does at it and at 0.5; with warnings.
 

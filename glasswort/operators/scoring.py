@@ -7,7 +7,7 @@ registry holds, since models are large.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..sources.tables import read_cache
 from . import images
-from .align import to_do
+from .align import resolve_labels, to_do
 from .calibrate import FusionModel
 from .provenance import provenance
 
@@ -81,6 +81,36 @@ class Brightness:
 FACTORIES: dict[str, Callable[[], object]] = {"brightness": Brightness}
 
 
+def class_sides(spark: SparkSession, name: str, labels: Mapping[int, str], missing: Sequence[str] = ()) -> tuple[list[int], list[int]]:
+    """The class ids of a detector's checkpoint that mean generated, and those that mean real.
+
+    labels are the checkpoint's own, missing the parameters that it lacks.
+    Refuses a checkpoint without weights for all its parameters (position
+    ids aside), one whose labels don't name both sides, and one whose sides
+    share a label.
+    """
+    if name not in DETECTORS:
+        raise KeyError(f"unknown detector: {name}")
+    if gaps := [m for m in missing if not m.endswith("position_ids")]:
+        raise RuntimeError(f"{name}: the checkpoint has no weights for {len(gaps)} parameters, such as {gaps[0]}")
+    have = spark.createDataFrame([(name, i, str(t)) for i, t in labels.items()], "model string, id int, label string")
+    want = detector_table(spark).where(F.col("name") == name).select(F.col("name").alias("model"), F.explode(F.create_map(F.lit("ai"), "ai_labels", F.lit("real"), "real_labels")).alias("side", "words"))
+    resolved = resolve_labels(have, want.select("model", "side", F.explode("words").alias("word")))
+    sides = {r["side"]: r["ids"] for r in resolved.collect()}
+    if len(sides) < 2:
+        raise RuntimeError(f"{name}: labels can't be mapped: {dict(labels)}")
+    if set(sides["ai"]) & set(sides["real"]):
+        raise RuntimeError(f"{name}: label sets overlap: {dict(labels)}")
+    return sides["ai"], sides["real"]
+
+
+def needed_detectors(spark: SparkSession, members: DataFrame | None = None, every: bool = False) -> DataFrame:
+    """The registry's rows that a setup needs: of members (name), of all, or those for general purposes."""
+    if members is None:
+        return default_detectors(spark, every)
+    return detector_table(spark).join(members.select("name"), "name", "left_semi")
+
+
 def register(name: str, factory: Callable[[], object]) -> None:
     """Makes a scorer known; the factory runs in Python workers, so it must be importable there."""
     FACTORIES[name] = factory

@@ -108,7 +108,7 @@ g AS (SELECT request, count(name) AS files, coalesce(max(n), 0) AS most, count(*
 SELECT request, files, CASE WHEN files = 0 THEN 400 WHEN files > 16 OR most > 40 THEN 413 WHEN nothing > 0 THEN 400 ELSE 200 END AS status,
   CASE WHEN files = 0 THEN 'no files' WHEN files > 16 THEN 'too many files' WHEN most > 40 THEN 'file too large' WHEN nothing > 0 THEN 'empty file' END AS problem FROM g""",
 }
-ORACLE["source_union"] = f"SELECT track, name, label, generator, kind FROM {_values(BASE_SOURCES, 'track, name, label, generator, kind')} UNION ALL SELECT track, name, label, generator, kind FROM ({ORACLE['group_sources']})"
+ORACLE["source_union"] = f"SELECT * FROM {_values(BASE_SOURCES, 'track, name, label, generator, kind, location')} UNION ALL SELECT track, name, label, generator, kind, NULL FROM ({ORACLE['group_sources']})"
 _SPECS = f"(SELECT * FROM {_values([(i, d.name, d.license, int(d.general_purpose)) for i, d in enumerate(DETECTORS.values())], 'pos, name, license, general')})"
 ORACLE["default_detectors"] = f"SELECT pos, name FROM {_SPECS} WHERE general = 1"
 ORACLE["noncommercial_detectors"] = f"SELECT name, license FROM {_SPECS} WHERE contains(license, '-nc')"

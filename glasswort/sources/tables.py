@@ -75,24 +75,24 @@ def group_sources(groups: DataFrame) -> DataFrame:
     )
 
 
-# The static sources.
+# The static sources; locations are below the folder of raw files.
 BASE_SOURCES = (
-    ("local", "coco", "real", "camera:coco-val2017", "dir"),
-    ("local", "div2k", "real", "camera:div2k-hr", "dir"),
-    ("local", "openimages", "real", "camera:open-images-v7", "parquet"),
-    ("local", "midjourney", "ai", "midjourney-v4", "dir"),
-    ("local", "flux_dev", "ai", "flux.1-dev", "dir"),
-    ("local", "flux_schnell", "ai", "flux.1-schnell", "dir"),
-    ("local", "sdxl", "ai", "sdxl-base-1.0", "parquet"),
-    ("local", "nanobanana", "ai", "nano-banana", "parquet"),
-    ("local", "genimage_mj", "ai", "midjourney-genimage", "parquet"),
+    ("local", "coco", "real", "camera:coco-val2017", "dir", "coco/val2017"),
+    ("local", "div2k", "real", "camera:div2k-hr", "dir", "div2k"),
+    ("local", "openimages", "real", "camera:open-images-v7", "parquet", "parquet/openimages.parquet"),
+    ("local", "midjourney", "ai", "midjourney-v4", "dir", "midjourney"),
+    ("local", "flux_dev", "ai", "flux.1-dev", "dir", "flux_dev"),
+    ("local", "flux_schnell", "ai", "flux.1-schnell", "dir", "flux_schnell"),
+    ("local", "sdxl", "ai", "sdxl-base-1.0", "parquet", "parquet/sdxl.parquet"),
+    ("local", "nanobanana", "ai", "nano-banana", "parquet", "parquet/nanobanana.parquet"),
+    ("local", "genimage_mj", "ai", "midjourney-genimage", "parquet", "parquet/genimage_mj.parquet"),
 )
 
 
 def all_sources(spark: SparkSession, groups: DataFrame) -> DataFrame:
-    """The static sources, then those of groups."""
-    base = spark.createDataFrame(list(BASE_SOURCES), "track string, name string, label string, generator string, kind string")
-    return base.unionByName(group_sources(groups).drop("paths"))
+    """The static sources, then those of groups, which have files of their own and so no location."""
+    base = spark.createDataFrame(list(BASE_SOURCES), "track string, name string, label string, generator string, kind string, location string")
+    return base.unionByName(group_sources(groups).drop("paths"), allowMissingColumns=True)
 
 
 def write_report(rows: DataFrame, path: str, title: str = "Benchmark report", digits: int = 3) -> str:

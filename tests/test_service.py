@@ -5,11 +5,12 @@ import threading
 import urllib.error
 import urllib.request
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from glasswort import server
-from glasswort.operators import reports
+from glasswort.operators import reports, scoring
 from glasswort.operators.calibrate import FusionModel
 from glasswort.plans import bench as B
 from glasswort.plans import selection
@@ -91,8 +92,52 @@ def test_other_reports(spark, sf):
     report = reports.benchmark_report(B.protocol_scores(spark, sf), B.bench(spark, sf))
     assert len(report["lines"]) == 12 and set(report["gaps"]) == set(B.DETECTORS) and set(report["recall"]) == {f"g{i}" for i in range(3, 10)}
     assert all(v["low"] <= v["share"] <= v["high"] for v in report["recall"].values())
+    n = report["images"]
+    assert n["n"] == n["n_real"] + n["n_ai"] == B.bench(spark, sf).count() and n["generators"] == 7 and n["tracks"] == ["cf", "local"]
+    said = reports.benchmark_markdown(report)
+    assert said.count("\n## ") == 4 and all(f"| {d} | crop |" in said for d in B.DETECTORS)
+    one = reports.benchmark_report(B.protocol_scores(spark, sf), B.bench(spark, sf), track="cf")
+    assert one["images"]["n"] == B.bench(spark, sf).where("track = 'cf'").count() and one["images"]["tracks"] == ["cf"]
+    assert max(r["n"] for r in one["lines"]) <= one["images"]["n"]
     robust = reports.robustness_report(degraded(spark, sf))
     clean = robust["clip-probe"]["degradations"]["clean"]
     assert clean["auroc_drop"] == clean["tpr_drop"] == 0 and robust["clip-probe"]["degradations"]["jpeg30"]["tpr"] <= clean["tpr"]
     few = reports.robustness_report(degraded(spark, sf).where((F.col("id") % 9 == 0) & (F.col("detector") == "clip-probe")))
     assert few["clip-probe"]["warnings"]
+
+
+def test_leakage(spark):
+    """A cached column that is the strict probe's own gives the same figures for the rows held out; one that tells the labels doesn't."""
+    rng = np.random.default_rng(11)
+    y = np.tile([0, 1], 90)
+    fold = np.repeat(["a", "b", "c"], 60)
+    x = rng.normal(0, 1, (180, 4)) + 0.8 * y[:, None]
+    rows = [(i, int(y[i]), str(fold[i]), x[i].tolist()) for i in range(180)]
+    bench = spark.createDataFrame(rows, "id long, y int, fold string, embedding array<double>")
+    given = [(i, int(y[i]), str(fold[i]), "d", float(1 / (1 + np.exp(-x[i, 0])))) for i in range(180)]
+    given += [(i, int(y[i]), str(fold[i]), "told", 0.99 if y[i] else 0.01) for i in range(180)]
+    scored = spark.createDataFrame(given, "id long, y int, fold string, detector string, score double")
+    found = reports.leakage_report(scored, bench, ["d"], "told")
+    assert found["cached"]["auroc"] == 1 and 0.6 < found["strict"]["auroc"] < 1
+    assert all(found[form]["n_ai"] == found[form]["n_real"] == 90 for form in ("cached", "strict"))
+    assert reports.leakage_report(scored.where("y = 1"), bench.where("y = 1"), ["d"], "told") == {"cached": {}, "strict": {}}
+
+
+def test_checkpoints_are_refused(spark):
+    assert scoring.class_sides(spark, "nyuad", {0: "real", 1: "sd", 2: "dalle"}) == ([1, 2], [0])
+    assert scoring.class_sides(spark, "umm-maybe", {0: " Artificial", 1: "human"}, ["x.position_ids"]) == ([0], [1])
+    with pytest.raises(RuntimeError, match="mapped"):
+        scoring.class_sides(spark, "umm-maybe", {0: "LABEL_0", 1: "LABEL_1"})
+    with pytest.raises(RuntimeError, match="overlap"):
+        scoring.class_sides(spark, "umm-maybe", {0: "artificial human"})
+    with pytest.raises(RuntimeError, match="1 parameters"):
+        scoring.class_sides(spark, "umm-maybe", {0: "artificial", 1: "human"}, ["head.weight"])
+    with pytest.raises(KeyError):
+        scoring.class_sides(spark, "none", {})
+
+
+def test_needed_detectors(spark):
+    members = spark.createDataFrame([("nyuad",), ("clip-probe",)], "name string")
+    assert [r["name"] for r in scoring.needed_detectors(spark, members).collect()] == ["nyuad"]
+    every, general = scoring.needed_detectors(spark, every=True).count(), scoring.needed_detectors(spark).count()
+    assert every == len(scoring.DETECTORS) and general == every - 1
